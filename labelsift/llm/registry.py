@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from labelsift.llm import exact_dedup, mixing
+from labelsift.llm import exact_dedup, mixing, subword_lattice
 
 MODULES = {
     "op2_exact_dedup": exact_dedup,
+    "op3_subword_lattice": subword_lattice,
     "op8_mixing": mixing,
 }
 
