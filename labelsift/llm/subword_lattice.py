@@ -8,7 +8,10 @@ discounted mass goes to the pieces. So for a word w of c training occurrences am
 
     P(w) = max(c - d, 0) / W + (d * V / W) * sum over segmentations of prod p(piece)
 
-and a text's probability is that of its words and its end. It sums to 1 over all sequences of words.
+Within a text, words come from a Polya urn over P (each word drawn is put back twice, so what a text has used
+is likelier in it), whose marginal depends on the counts alone: of a word used t times, the rising factorial
+sP (sP + 1) ... (sP + t - 1), over that of s for all words. A text's probability is that of its words and its end, and
+sums to 1 over all sequences of words.
 
 Plan: words are counted in Arrow batches and reduced by Spark; the model pass runs over distinct words, never over
 tokens. Words of the bounded FREQUENT table are scored where the text is read; pairs of (row, rarer word) are joined
@@ -23,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelsift.llm.common import bucket_of, materialize, table
 
@@ -31,6 +34,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most words whose counts are sent to every task; all others are joined by shuffle.
 FREQUENT = 1 << 16
 EM_ROUNDS = 2
+#: Weight of the corpus against what a text has used, in words.
+URN = 2000.0
 #: Distinct words that a task holds before it hands them on.
 FLUSH = 200_000
 #: Bytes above which a word goes through the lattice alone.
@@ -198,7 +203,13 @@ def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS, frequent: int = FREQUENT) -> DataFrame:
+def _rising(log_weight: Column, times: Column) -> Column:
+    """Log of weight (weight + 1) ... (weight + times - 1)."""
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), times - 1), F.lit(0.0), lambda total, k: total + F.log(F.exp(log_weight) + k))
+    return log_weight + F.when(times > 1, more).otherwise(0.0)
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS, frequent: int = FREQUENT, urn: float = URN) -> DataFrame:
     """One row per row of ``docs``: the id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10).
 
     ``held_out`` is a boolean Column; all other rows are learned from. Null text is the empty text, of one token
@@ -232,11 +243,12 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
             lattice, _, now = _lattice(shared)
             total = np.zeros(lattice.n + 1)
             for batch in batches:
-                total += lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(), now)
+                total += lattice.expected(batch.column(0).to_pylist(), np.ones(batch.num_rows), now)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "uses"])
 
-        uses = counts.where("c > 0").select("word", "c").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+        # each distinct word once: the pieces are there for words not yet seen
+        uses = counts.where("c > 0").select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
         weights = prior.copy()
         for row in uses.collect():
             weights[row.piece] += row.uses
@@ -254,7 +266,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 pieces_log = lattice.log_marginal(batch.column(0).to_pylist(), now)
                 with np.errstate(divide="ignore"):
                     whole = np.log(np.maximum(c - discount, 0) / seen_words)
-                score = (np.logaddexp(whole, pieces_log + math.log(spread)) + math.log1p(-p_end)) / _LN10
+                score = np.logaddexp(whole, pieces_log + math.log(spread)) + math.log(urn)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log10(c + 1.0) - base_under), pa.array(score)], ["word", "c", "n", "base", "score"])
 
     weighed = materialize(counts.mapInArrow(weigh, "word binary, c long, n long, base double, score double"), "weights")
@@ -265,24 +277,26 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         if taken + steps[b] > frequent:
             break
         taken, least = taken + steps[b], b
-    often: dict[bytes, tuple[int, float, float]] = {}
+    often: dict[bytes, tuple[int, float, float, float]] = {}
     if least is not None:
         for r in weighed.where(F.floor(F.log2("n") * 4) >= least).select("word", "c", "base", "score").collect():
-            often[bytes(r.word)] = (int(r.c > 0), r.base, r.score)
+            often[bytes(r.word)] = (int(r.c > 0), r.base, r.score, math.exp(r.score))
     known_words = context.broadcast(often)
-    end_base, end_score = math.log10(ends + 1.0) - base_under, math.log10(p_end)
+    end_base = math.log10(ends + 1.0) - base_under
+    log_next, log_end, log_urn = math.log1p(-p_end), math.log(p_end), math.lgamma(urn)
     end_known = int(ends > 0)
     names = ["row", "word", "tf", "id", "held_out", "n_tokens", "n_known", "base", "score"]
 
     def split(batches):
-        table_ = known_words.value
+        table_, lgamma = known_words.value, math.lgamma
         for batch in batches:
             part: list[tuple[list, list, list]] = []
             size = 0
             whole: list[tuple] = []
             for row, ident, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = tokens(text.as_py())
-                known, base, score, rare_words, rare_tf = end_known, end_base, end_score, [], []
+                known, base, rare_words, rare_tf = end_known, end_base, [], []
+                score = log_end + len(words) * log_next + log_urn - lgamma(urn + len(words))
                 for word, tf in Counter(words).items():
                     hit = table_.get(word)
                     if hit is None:
@@ -291,7 +305,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                     else:
                         known += tf * hit[0]
                         base += tf * hit[1]
-                        score += tf * hit[2]
+                        score += hit[2] if tf == 1 else lgamma(hit[3] + tf) - lgamma(hit[3])
                 whole.append((row, ident, held, len(words) + 1, known, base, score))
                 part.append(([row] * len(rare_words), rare_words, rare_tf))
                 size += len(rare_words)
@@ -329,7 +343,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         parts.where(F.col("word").isNotNull()).select("row", "word", "tf")
         .join(weighed.select("word", "c", F.col("base").alias("wb"), F.col("score").alias("ws")), "word")
         .groupBy("row")
-        .agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("wb")).alias("b"), F.sum(F.col("tf") * F.col("ws")).alias("s"))
+        .agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("wb")).alias("b"), F.sum(_rising(F.col("ws"), F.col("tf"))).alias("s"))
     )
     both = parts.where(F.col("word").isNull()).drop("word", "tf").join(rare_rows, "row", "left")
     zero = F.lit(0)
@@ -340,7 +354,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         (F.col("n_known") + F.coalesce("k", zero)).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        ((F.col("score") + F.coalesce("s", F.lit(0.0))) / _LN10).alias("score"),
     )
 
 
