@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from labelsift.llm import exact_dedup, mixing, subword_lattice
+from labelsift.llm import exact_dedup, language_id, mixing, subword_lattice
 
 MODULES = {
     "op2_exact_dedup": exact_dedup,
     "op3_subword_lattice": subword_lattice,
+    "op4_language_id": language_id,
     "op8_mixing": mixing,
 }
 
