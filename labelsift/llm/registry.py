@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelsift.llm import exact_dedup, language_id, mixing, subword_lattice
+from labelsift.llm import exact_dedup, language_id, mixing, subword_lattice, toxicity
 
 MODULES = {
+    "op1_toxicity": toxicity,
     "op2_exact_dedup": exact_dedup,
     "op3_subword_lattice": subword_lattice,
     "op4_language_id": language_id,
