@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from labelsift.llm import exact_dedup, language_id, mixing, shingle_join, subword_lattice, toxicity
+from labelsift.llm import edit_join, exact_dedup, language_id, mixing, shingle_join, subword_lattice, toxicity
 
 MODULES = {
     "op1_toxicity": toxicity,
     "op2_exact_dedup": exact_dedup,
     "op3_subword_lattice": subword_lattice,
     "op4_language_id": language_id,
+    "op5_edit_join": edit_join,
     "op7_shingle_join": shingle_join,
     "op8_mixing": mixing,
 }
