@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelsift.llm import decontaminate, edit_join, exact_dedup, language_id, mixing, shingle_join, subword_lattice, toxicity
+from labelsift.llm import decontaminate, edit_join, exact_dedup, language_id, mixing, pii, shingle_join, subword_lattice, toxicity
 
 MODULES = {
     "op1_toxicity": toxicity,
@@ -12,6 +12,7 @@ MODULES = {
     "op5_edit_join": edit_join,
     "op7_shingle_join": shingle_join,
     "op8_mixing": mixing,
+    "op9_pii": pii,
     "op10_decontaminate": decontaminate,
 }
 
