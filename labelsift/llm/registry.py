@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelsift.llm import decontaminate, edit_join, exact_dedup, language_id, mixing, pii, shingle_join, subword_lattice, toxicity
+from labelsift.llm import decontaminate, edit_join, exact_dedup, language_id, mixing, pii, shingle_join, subword_lattice, token_counts, toxicity
 
 MODULES = {
     "op1_toxicity": toxicity,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_subword_lattice": subword_lattice,
     "op4_language_id": language_id,
     "op5_edit_join": edit_join,
+    "op6_token_counts": token_counts,
     "op7_shingle_join": shingle_join,
     "op8_mixing": mixing,
     "op9_pii": pii,
