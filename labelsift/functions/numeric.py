@@ -36,8 +36,11 @@ def whole_days(start: Column, end: Column) -> Column:
 
 
 def parse_minute(text: Column) -> Column:
-    """'6/24/15 18:05' as a timestamp without zone; null if it doesn't parse."""
-    return F.try_to_timestamp(text, F.lit("M/d/yy H:mm")).cast("timestamp_ntz")
+    """'6/24/15 18:05' as a timestamp without zone; null if it doesn't parse. Years 69 to 99 are of the last century."""
+    year = F.regexp_extract(text, r"^\d{1,2}/\d{1,2}/(\d{2}) ", 1)
+    day, rest = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/)", 1), F.regexp_extract(text, r"^\d{1,2}/\d{1,2}/(.*)$", 1)
+    full = F.when(year != "", F.concat(day, F.when(year >= "69", "19").otherwise("20"), rest))
+    return F.try_to_timestamp(full, F.lit("M/d/yyyy H:mm")).cast("timestamp_ntz")
 
 
 def close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:

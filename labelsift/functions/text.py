@@ -6,6 +6,7 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import PandasUDFType
 
 #: What counts as a link, a bare scheme, a mention, a hashtag and a corrupted run. (?U) makes classes
 #: Unicode-aware; the corrupted run is possessive so that long runs can't exhaust the stack.
@@ -28,14 +29,14 @@ def _unescape(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
 def _unescape_batch(texts: pd.Series) -> pd.Series:
     return texts.map(_unescape, na_action="ignore")
 
 
 def unescape(text: Column) -> Column:
     """HTML entities replaced until nothing changes, five rounds at most. Only rows that hold "&" leave the JVM's own expressions."""
-    return F.when(F.contains(text, F.lit("&")), _unescape_batch(text)).otherwise(text)
+    batch = F.pandas_udf(_unescape_batch, "string", PandasUDFType.SCALAR)
+    return F.when(F.contains(text, F.lit("&")), batch(text)).otherwise(text)
 
 
 def clean(text: Column, entities: bool = True) -> Column:
