@@ -1,0 +1,382 @@
+"""Operators against brute force, planted cases and edge rows. Every table here has nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from labelsift.llm import decontaminate, edit_join, exact_dedup, language_id, mixing, pii, shingle_join, subword_lattice, token_counts, toxicity
+
+SYLLABLES = "tha on er st re in ha ou nd ti es or".split()
+CLASHES = ["score", "predicted", "key", "node", "n", "word", "size", "kinds", "n_replaced", "taken", "_id", "row"]
+
+
+def prose(rng, words):
+    return " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(words))
+
+
+def documents(spark, seed=0, n=60):
+    rng = random.Random(seed)
+    texts = [prose(rng, rng.randint(1, 120)) for _ in range(n)]
+    texts += [texts[0], texts[0].upper(), texts[1] + " extra", None, "", "  \n ", "a", "Été à la", texts[2] + "\n" + texts[3] + "\n" + texts[2], prose(rng, 6000)]
+    rows = [(i, t, "en" if i % 3 else None, "s" + str(i % 4) if i % 5 else None) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, texts[4], "en", "s0"), (None, None, None, None)]
+    df = spark.createDataFrame([(*r, *[7] * len(CLASHES)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in CLASHES))
+    return df.repartition(4), rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark)
+
+
+def lower(t):
+    return (t or "").encode().lower()
+
+
+def test_exact_dedup(spark, docs):
+    df, rows = docs
+    groups = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        groups[lower(t)].append(i)
+    got = exact_dedup.exact_groups(df, keep="max", runs=16).collect()
+    assert len(got) == len(rows)
+    by_hash = {hashlib.sha256(t).hexdigest(): ids for t, ids in groups.items()}
+    for r in got:
+        ids = by_hash[r.text_sha256]
+        known = [i for i in ids if i is not None]
+        assert r.group_size == len(ids) and r.keep_id == (max(known) if known else None) and r.kept == (r.doc_id == r.keep_id)
+    assert exact_dedup.exact_groups(df.limit(0)).count() == 0
+    least = exact_dedup.exact_groups(df, keep="min").where("group_size > 1 AND doc_id IS NOT NULL").collect()
+    assert all(r.keep_id <= r.doc_id for r in least)
+
+
+def test_mixing(spark, docs):
+    df, rows = docs
+    got = mixing.mix(df.drop("size"), mixing.word_count(F.col("text")), F.lit(None).cast("double")).collect()
+    assert len(got) == len(rows)
+    total = sum(len(lower(t).split()) for _, t, *_ in rows)
+    sizes, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert abs(sum(target.values()) - total) < 1e-6 * total
+    order = sorted(target, key=lambda s: (s is None, s))
+    shares = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 1 and target[s] <= 3 * sizes[s] + 1e-6
+    free = [target[s] / shares[s] for s in target if target[s] < 3 * sizes[s] - 1e-6]
+    assert max(free) - min(free) < 1e-6
+    again = mixing.mix(df.drop("size").repartition(7), mixing.word_count(F.col("text")), F.lit(None).cast("double")).collect()
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((r.doc_id or -1, r.size, r.taken) for r in again)
+    assert mixing.mix(df.drop("size").limit(0), F.lit(1), F.lit(1.0)).count() == 0
+
+
+def test_mixing_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 3)
+    df = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("w"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
+    per = mixing.mix(df, F.col("w"), F.col("w").cast("double")).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r.t - r.g) <= 1 for r in per)
+
+
+def test_lattice_sums_all_segmentations():
+    pieces = [b" t", b" th", b"h", b"a", b"ha", b"t", b"at", b"hat", b" ", *(bytes([b]) for b in b"bxz\xc3\xa9")]
+    lattice = subword_lattice.Lattice(pieces)
+    logp = lattice.start(pieces)
+    p = {x: math.exp(v) for x, v in zip(pieces, logp)}
+
+    def total(rest):
+        return 1.0 if not rest else sum(p[x] * total(rest[len(x):]) for x in pieces if rest.startswith(x))
+
+    words = [b"hat", b"that", b"t", "thé".encode(), b"xz" * 150]
+    got = lattice.log_marginal(words, logp)
+    for w, g in zip(words[:4], got):
+        assert np.isclose(g, math.log(total(b" " + w)) + logp[-1])
+    assert np.isfinite(got).all()
+    uses = lattice.expected([b"that"], np.array([2.0]), logp)
+    assert np.isclose(sum(u * len(x) for u, x in zip(uses, pieces)), 2 * 5) and uses[-1] == 2
+
+
+def test_lm_scores(spark, docs):
+    df, rows = docs
+    held = F.coalesce(F.pmod("doc_id", F.lit(4)) == 1, F.lit(False))
+    got = subword_lattice.score_texts(df, held, frequent=20).collect()
+    counts = collections.Counter(w for i, t, *_ in rows if i is None or i % 4 != 1 for w in lower(t).split())
+    ends = sum(i is None or i % 4 != 1 for i, *_ in rows)
+    total, kinds = sum(counts.values()) + ends, len(counts) + 1
+    texts = {i: t for i, t, *_ in rows if i is not None}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.train_tokens == total and r.score < 0
+        if r.doc_id is not None:
+            words = lower(texts[r.doc_id]).split()
+            base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in words) + math.log10((ends + 1) / (total + kinds + 1))
+            assert r.n_tokens == len(words) + 1 and r.n_known == 1 + sum(counts[w] > 0 for w in words) and np.isclose(r.base_score, base)
+    # words of the bounded table and words joined by shuffle get the same scores
+    for a, b in zip(sorted(got, key=str), sorted(subword_lattice.score_texts(df, held, frequent=0).collect(), key=str)):
+        assert np.isclose(a.score, b.score)
+    assert subword_lattice.score_texts(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_language_id(spark):
+    rng = random.Random(3)
+    sides = {"aa": "tha on er st".split(), "bb": "qui lo va né".split()}
+    rows = [(i, " ".join("".join(rng.choice(sides[k]) for _ in range(3)) for _ in range(20)), k) for i in range(160) for k in [("aa", "bb")[i % 2]]]
+    df = spark.createDataFrame(rows + [(500, None, "aa"), (501, "12 !?", "bb"), (502, "", None), (503, rows[1][1] * 400, None)], "doc_id long, text string, lang string").withColumn("score", F.lit(1))
+    model = language_id.fit(df.where("doc_id < 120"))
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    assert all(got[i].lang_pred == k for i, _, k in rows if i >= 120) and got[503].lang_pred == "bb"
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (500, 501, 502))
+    assert language_id.fit(df.limit(0)) is None
+    assert {r.lang_pred for r in language_id.identify(df.limit(2), None).collect()} == {"und"}
+    assert language_id.identify(df.limit(0), model).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        words = prose(rng, 60).split()
+        if i % 3 == 0:
+            words[rng.randrange(60)] = rng.choice(["grumlok", "zivvert"])
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows + [(900, None), (901, ""), (902, "x " * 20000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(900, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    assert all(got[i].predicted == int(i % 3 == 0) for i in range(200, 300)) and all(0 <= r.score <= 1 for r in got.values())
+    assert got[900].predicted == got[901].predicted == 0
+    reader = toxicity.Reader(model.chars, model.known)
+    for hidden in ("gruml0k", "g r u m l o k", "z.i.v.v.e.r.t", "grumlooook", "ziv+ert"):
+        assert model.score(reader.features(f"tha on {hidden} er")) > 0.5, hidden
+    assert model.score(reader.features("tha on er 0 1 $$ st")) < 0.5
+    assert toxicity.score(df.limit(0), model).count() == 0
+    assert toxicity.score(df, toxicity.fit(df, labels.limit(0))).where("predicted = 1").count() == 0
+
+
+def shingles(t, k):
+    w = lower(t).split()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def roots(pairs):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return find
+
+
+@pytest.mark.parametrize("width,num,group,block", [(3, 90, 64, 2048), (3, 90, 2, 3), (5, 80, 2, 1 << 20), (2, 50, 3, 4)])
+def test_shingle_join(spark, width, num, group, block):
+    rng = random.Random(width)
+    base = [prose(rng, 80).split() for _ in range(4)]
+    texts = []
+    for b in base:
+        for _ in range(25):
+            w = list(b)
+            for _ in range(rng.choice([0, 0, 1, 2, 5, 9])):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            texts.append(" ".join(w))
+    texts += [None, "", " \t", "one", "One", "two words", prose(rng, 3000), "same " * 50]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    sets = {i: shingles(t, width) for i, t in rows}
+    ids = sorted(sets)
+    find = roots((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]))
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)), width, num, 100, group=group, block=block).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
+
+
+def test_shingle_join_edges(spark, docs):
+    df, rows = docs
+    got = shingle_join.near_duplicates(df, 3, 90, 100)
+    assert got.count() == len(rows) and shingle_join.near_duplicates(df.limit(0)).count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_banded_distance(spark):
+    rng = random.Random(1)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randint(8, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for k in (1, 2, 3):
+        for r in df.select("a", "b", edit_join.within(F.col("a"), F.col("b"), k).alias("w"), edit_join.holds_pieces(F.col("a"), F.col("b"), k).alias("h")).collect():
+            near = edits(r.a, r.b) <= k
+            assert r.w == near and (r.h or not near)
+
+
+@pytest.mark.parametrize("group,block", [(24, 2048), (2, 1 << 20), (2, 3)])
+def test_line_dedup(spark, group, block):
+    rng = random.Random(group)
+    base = [prose(rng, 8)[:60].ljust(24, "x") for _ in range(8)]
+    lines = []
+    for _ in range(90):
+        line = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            i = rng.randrange(len(line))
+            line[i : i + 1] = rng.choice(["", "z", "qq"])
+        lines.append("".join(line))
+    texts = ["\n".join(lines[i : i + 6]) + "\nshort\n" for i in range(0, 90, 6)] + [None, "", "\n\n", prose(rng, 4000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    where = collections.defaultdict(list)
+    for i, t in rows:
+        for no, line in enumerate((t or "").split("\n")):
+            if len(line.strip()) >= 20:
+                where[line.strip()].append((i, no))
+    kinds = sorted(where, key=lambda x: min(where[x]))
+    find = roots((i, j) for i in range(len(kinds)) for j in range(i + 1, len(kinds)) if abs(len(kinds[i]) - len(kinds[j])) <= 2 and edits(kinds[i], kinds[j]) <= 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
+    got = edit_join.dedup_lines(df, group=group, block=block).collect()
+    assert len(got) == sum(map(len, where.values()))
+    number = {place: k for k, line in enumerate(kinds) for place in where[line]}
+    for r in got:
+        first = min(where[kinds[find(number[r.doc_id, r.line_no])]])
+        assert (r.first_id, r.first_line) == first and r.kept == ((r.doc_id, r.line_no) == first)
+    left = {r.doc_id: r.text for r in edit_join.without_copies(df, edit_join.dedup_lines(df, group=group)).collect()}
+    assert left[16] == "" and left[18] == texts[18] and "short" in left[0]
+    assert edit_join.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_token_counts(spark, docs):
+    df, rows = docs
+    import tiktoken
+
+    encoder = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.load_ranks(), special_tokens={})
+    for rule in token_counts.RULES:
+        got = collections.defaultdict(list)
+        for r in token_counts.section_tokens(df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), rule=rule).collect():
+            got[r.doc_id].append(r)
+        for i, t, *_ in rows[:-3]:
+            n = len(encoder.encode_ordinary(t or ""))
+            assert np.isclose(sum(r.n_tokens for r in got[i]), n) and {r.doc_tokens for r in got[i]} == {n} and len(got[i]) == (t or "").count("\n") + 1
+    assert token_counts.section_tokens(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        token_counts.section_tokens(df, rule="other")
+
+
+def test_token_spans_crossing(spark):
+    text = "hello wonderful world é end"
+    df = spark.createDataFrame([(1, text, [("a", 0, 9), ("b", 9, 20), ("c", 20, 99), ("none", 5, 5)][:3]), (2, "x", None)], "doc_id long, text string, spans array<struct<name:string,start:int,end:int>>")
+    got = {rule: {r.section: r for r in token_counts.section_tokens(df, "spans", rule).collect()} for rule in token_counts.RULES}
+    assert all(sum(r.n_tokens for r in g.values()) == pytest.approx(next(iter(g.values())).doc_tokens) for g in got.values())
+    assert got["start"]["a"].n_tokens == 2 and got["end"]["a"].n_tokens == 1 and got["share"]["a"].n_tokens == pytest.approx(1 + 4 / 10) and got["most"]["b"].n_tokens >= 1
+    assert got["start"]["a"].n_crossing == 1
+
+
+def test_pii(spark):
+    rng = random.Random(9)
+
+    def card(body):
+        s = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        return body + str(-s % 10)
+
+    cards = [card("".join(rng.choice("0123456789") for _ in range(15))) for _ in range(40)]
+    texts = [f"pay {c} now, or {c[:4]} {c[4:8]} {c[8:12]} {c[12:]}" for c in cards] + [f"born 1984-02-{d:02d}, ip 10.0.{d}.7" for d in range(1, 30)] + ["call +1 (017) 555-7713.", "mail a.é9@x.org and b@y.com", "no 1234567890123456 99/99/2000 300.1.1.1", None, "", "123-45-6789 000-12-3456", "DE89370400440532013000", "key 9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "é" * 5000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kinds string").repartition(3)
+    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    seen = set()
+    for i, c in enumerate(cards):
+        a, b = got[i].text.removeprefix("pay ").split(" now, or ")
+        assert a == b.replace(" ", "") and a != c and card(a[:15]) == a and got[i].n_replaced == 2
+        seen.add(a)
+    assert len(seen) == len(set(cards))
+    import datetime
+
+    days = set()
+    for i in range(40, 69):
+        day, ip = got[i].text.removeprefix("born ").split(", ip ")
+        days.add(datetime.date.fromisoformat(day))
+        assert all(0 <= int(x) <= 255 for x in ip.split(".")) and got[i].kinds == ["date", "ip"]
+    assert len(days) == 29
+    assert got[69].text.startswith("call +1 (") and got[69].text != texts[69]
+    assert got[70].text.endswith("@y.com") and "a.é9@" not in got[70].text
+    assert got[71].n_replaced == 0 and got[71].text == texts[71]
+    assert got[72].text is None and got[73].text == "" and got[77].text == texts[77]
+    assert got[74].n_replaced == 1 and got[74].text.endswith(" 000-12-3456")
+    digits = "".join(str(int(ch, 36)) for ch in got[75].text[4:] + got[75].text[:4])
+    assert int(digits) % 97 == 1 and got[75].text[:2] == "DE"
+    assert got[76].kinds == ["secret"] and len(got[76].text) == len(texts[76])
+    other = pii.pseudonymise(df, key="another").where("doc_id = 0").first()
+    assert other.text != got[0].text
+    assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_permutations_are_bijections(spark):
+    ids = spark.range(17 * 43).select(pii.permute(F.floor(F.col("id") / 43), F.col("id") % 43, F.lit(17), F.lit(43), "k", "t").alias("p"))
+    assert ids.distinct().count() == 17 * 43
+    two = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p"))
+    assert two.distinct().count() == 1000 and two.where(~F.col("p").rlike("^[0-9]{3}$")).count() == 0
+    letters = spark.range(26 * 26).select(pii.permute_letters(F.concat(F.chr(F.col("id") % 26 + 97), F.chr(F.floor(F.col("id") / 26) + 65)), "k", "t").alias("p"))
+    assert letters.distinct().count() == 676 and letters.where(~F.col("p").rlike("^[a-z][A-Z]$")).count() == 0
+
+
+def test_decontaminate(spark):
+    rng = random.Random(4)
+    items = [prose(rng, rng.randint(14, 50)) for _ in range(12)] + ["tiny one two", None, ""]
+    clean = [prose(rng, 200) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(clean)]
+    planted = {}
+    for k in range(12):
+        words = items[k].split()
+        if k % 3 == 1:  # substitutions
+            for at in range(4, len(words), 7):
+                words[at] = "zzz"
+        text = clean[k].split()
+        text[50:50] = words if k % 3 != 2 else (" ".join(words).upper() + "!").replace(" ", ", ").split()
+        rows.append((100 + k, " ".join(text)))
+        planted[100 + k] = k
+    rows += [(200, None), (201, ""), (202, "x tiny ONE, two y")]
+    planted[202] = 12
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matched", F.lit(0))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block in (1 << 20, 40):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench, block_tokens=block).collect()}
+        assert got == set(planted.items())
+    assert decontaminate.contaminated(df, bench.limit(0)).count() == decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_folds_follow_the_contract(spark):
+    from labelsift.llm.common import bucket_of
+
+    for r in spark.range(200).select("id", bucket_of(F.col("id"), 7).alias("b")).collect():
+        assert r.b == zlib.crc32(str(r.id).encode()) % 7
+
+
+def test_components(spark):
+    from labelsift.llm.graph import components
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(400, x) for x in range(401, 450)]
+    find = roots(edges)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in {y for e in edges for y in e if e[0] != e[1]}}
