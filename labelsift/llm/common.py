@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -58,8 +59,21 @@ def _drop_all() -> None:
             return
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Fewer rows in the batches of what is run inside, where rows are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing. ``by``: a column of few
+    values whose rows are stored apart, so that a filter on it reads no others.
 
     The tables are removed when the driver's Python ends.
     """
@@ -67,6 +81,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_drop_all)
     path = f"{shared_folder(spark).rstrip('/')}/labelsift-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
-    return spark.read.parquet(path)
+    # without the schema, an empty table couldn't be read, and values in folder names would come back as text
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
