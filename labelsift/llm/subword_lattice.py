@@ -10,8 +10,9 @@ discounted mass goes to the pieces. So for a word w of c training occurrences am
 
 Within a text, words come from a Polya urn over P (each word drawn is put back twice, so what a text has used
 is likelier in it), whose marginal depends on the counts alone: of a word used t times, the rising factorial
-sP (sP + 1) ... (sP + t - 1), over that of s for all words. A text's probability is that of its words and its end, and
-sums to 1 over all sequences of words.
+sP (sP + 1) ... (sP + t - 1), over that of s for all words. There may be several such P, one for each class of
+training rows (their language, say): a text's class is not looked at but summed over, with the classes' shares as weights. A text's
+probability is that of its words and its end, and sums to 1 over all sequences of words.
 
 Plan: words are counted in Arrow batches and reduced by Spark; the model pass runs over distinct words, never over
 tokens. Words of the bounded FREQUENT table are scored where the text is read; pairs of (row, rarer word) are joined
@@ -36,6 +37,8 @@ FREQUENT = 1 << 16
 EM_ROUNDS = 2
 #: Weight of the corpus against what a text has used, in words.
 URN = 2000.0
+#: Classes that get a model of their own, the most common ones; all others share one more.
+CLASSES = 7
 #: Distinct words that a task holds before it hands them on.
 FLUSH = 200_000
 #: Bytes above which a word goes through the lattice alone.
@@ -133,15 +136,17 @@ class Lattice:
             at = to
 
     def log_marginal(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
-        """Natural log of the summed probability of all segmentations of each word."""
-        out = np.zeros(len(words))
+        """Natural log of the summed probability of all segmentations: words by models, of a row of ``logp`` each."""
+        logp = np.atleast_2d(logp)
+        out = np.zeros((len(words), len(logp)))
+        arc = np.ascontiguousarray(logp.T)
         for where, grid, lens in self._chunks(words):
-            forward = np.full((len(lens), grid.shape[1] + 1), -np.inf)
-            forward[:, 0] = 0
+            forward = np.full((grid.shape[1] + 1, len(lens), len(logp)), -np.inf)
+            forward[0] = 0
             for i in range(grid.shape[1]):
                 for end, rows, k in self._arcs(grid, lens, i):
-                    forward[rows, end] = np.logaddexp(forward[rows, end], forward[rows, i] + logp[k])
-            out[where] = forward[np.arange(len(lens)), lens] + logp[-1]
+                    forward[end, rows] = np.logaddexp(forward[end, rows], forward[i, rows] + arc[k])
+            out[where] = forward[lens, np.arange(len(lens))] + arc[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -185,20 +190,19 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(train boolean, text) to (word, n_train, n)."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    """(class, text) to (word, class, n); class -1 is not learned from."""
+    seen: dict[int, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for train, counts in enumerate(seen):
+        for kind, counts in seen.items():
             if counts:
-                n = pa.array(list(counts.values()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), n if train else pa.array(np.zeros(len(counts), int)), n], ["word", "n_train", "n"])
-                counts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(np.full(len(counts), kind, np.int32)), pa.array(list(counts.values()), pa.int64())], ["word", "class", "n"])
+        seen.clear()
 
     for batch in batches:
-        for train, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            seen[bool(train)].update(tokens(text.as_py()))
-            if len(seen[0]) + len(seen[1]) > FLUSH:
+        for kind, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            seen.setdefault(kind, Counter()).update(tokens(text.as_py()))
+            if sum(map(len, seen.values())) > FLUSH:
                 yield from flush()
     yield from flush()
 
@@ -209,67 +213,100 @@ def _rising(log_weight: Column, times: Column) -> Column:
     return log_weight + F.when(times > 1, more).otherwise(0.0)
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS, frequent: int = FREQUENT, urn: float = URN) -> DataFrame:
+def log_rising(weights: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums over rows of the logs of w (w + 1) ... (w + t - 1), for each column of weights."""
+    out = np.log(weights).sum(0)
+    k, left = 1, np.flatnonzero(times > 1)
+    while left.size:
+        out += np.log(weights[left] + k).sum(0)
+        k += 1
+        left = left[times[left] > k]
+    return out
+
+
+def classes_of(rows: DataFrame, most: int) -> list:
+    """The commonest classes of the rows to learn from, by name where equally common."""
+    return [r["class"] for r in rows.where(~F.col("held_out")).groupBy("class").count().orderBy(F.desc("count"), "class").limit(most).collect()]
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS, frequent: int = FREQUENT, urn: float = URN) -> DataFrame:
     """One row per row of ``docs``: the id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10).
 
-    ``held_out`` is a boolean Column; all other rows are learned from. Null text is the empty text, of one token
-    (its end). A null held_out counts as false. With no training rows, base_score is that of N = V = 0 and score rests on the
+    ``held_out`` is a boolean Column; all other rows are learned from. ``class_col`` names the classes of these rows; it isn't read of
+    the rows held out, and no row's score looks at its own. Null text is the empty text, of one token
+    (its end). A null held_out counts as false, a null class is a class. With no training rows, base_score is that of N = V = 0 and score rests on the
     vocabulary alone. Repeated rows each get their row; other columns are ignored.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     context = spark.sparkContext
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("_text"))
-    counts = materialize(
-        rows.select(~F.col("held_out"), "_text")
-        .mapInArrow(count_words, "word binary, n_train long, n long")
-        .groupBy("word").agg(F.sum("n_train").alias("c"), F.sum("n").alias("n")),
-        "words",
-    )
-    stats = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("W"), F.count_if(F.col("c") > 0).alias("V"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
-    ).first()
-    ends = rows.where(~F.col("held_out")).count()
-    train_tokens, distinct = stats.W + ends, stats.V + (ends > 0)
-    discount = stats.n1 / (stats.n1 + 2 * stats.n2) if stats.n1 else 0.5
-    discount = min(max(discount, 0.1), 0.9)
+    group = F.col(class_col).cast("string") if class_col else F.lit("")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), group.alias("class"), F.col(text_col).alias("_text"))
+    names = classes_of(rows, CLASSES)
+    kinds = range(len(names) + 1)
+    number = F.lit(len(names))
+    for k, name in enumerate(names):
+        number = F.when(F.col("class").eqNullSafe(F.lit(name)), k).otherwise(number)
+    number = F.when(F.col("held_out"), -1).otherwise(number).cast("int")
+    counted = rows.select(number.alias("class"), "_text").mapInArrow(count_words, "word binary, class int, n long")
+    counts = materialize(counted.groupBy("word").agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in kinds]), "words")
+    total = sum((F.col(f"c{k}") for k in kinds), F.lit(0))
+    facts = [f(k).alias(f"{n}{k}") for k in kinds for n, f in (
+        ("W", lambda k: F.coalesce(F.sum(f"c{k}"), F.lit(0))), ("V", lambda k: F.count_if(F.col(f"c{k}") > 0)), ("one", lambda k: F.count_if(F.col(f"c{k}") == 1)), ("two", lambda k: F.count_if(F.col(f"c{k}") == 2)),
+    )]
+    stats = counts.agg(F.count_if(total > 0).alias("V"), *facts).first()
+    ends = {r.k: r["count"] for r in rows.where(~F.col("held_out")).groupBy(number.alias("k")).count().collect()}
+    n_ends = sum(ends.values())
+    kinds = [k for k in kinds if ends.get(k)] or [0]
+    train_tokens, distinct = sum(stats[f"W{k}"] for k in kinds) + n_ends, stats.V + (n_ends > 0)
+    discount = np.array([min(max(stats[f"one{k}"] / (stats[f"one{k}"] + 2 * stats[f"two{k}"]) if stats[f"one{k}"] else 0.5, 0.1), 0.9) for k in kinds])
+    size = np.array([max(stats[f"W{k}"], 1) for k in kinds], float)
+    spread = np.array([discount[j] * stats[f"V{k}"] / size[j] if stats[f"W{k}"] else 1.0 for j, k in enumerate(kinds)])
     # the vocabulary bounds everything that is sent here or to the tasks
     pieces = load_pieces(vocabulary)
-    logp = Lattice(pieces).start(pieces)
-    prior = np.exp(logp)
-    for k in range(rounds if stats.W else 0):
+    start = Lattice(pieces).start(pieces)
+    prior, logp = np.exp(start), np.tile(start, (len(kinds), 1))
+    own = [f"c{k}" for k in kinds]
+    for _ in range(rounds):
         shared = context.broadcast((hash(vocabulary), pieces, logp))
 
         def expect(batches, shared=shared):
             lattice, _, now = _lattice(shared)
-            total = np.zeros(lattice.n + 1)
+            uses = np.zeros((len(now), lattice.n + 1))
             for batch in batches:
-                total += lattice.expected(batch.column(0).to_pylist(), np.ones(batch.num_rows), now)
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "uses"])
-
-        # each distinct word once: the pieces are there for words not yet seen
-        uses = counts.where("c > 0").select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-        weights = prior.copy()
+                words = np.array(batch.column(0).to_pylist(), object)
+                for j in range(len(now)):
+                    # each distinct word once: the pieces are there for words not yet seen
+                    part = words[batch.column(1 + j).to_numpy() > 0].tolist()
+                    uses[j] += lattice.expected(part, np.ones(len(part)), now[j])
+            j, used = np.nonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(used), pa.array(uses[j, used])], ["j", "piece", "uses"])
+
+        uses = counts.select("word", *own).mapInArrow(expect, "j long, piece long, uses double").groupBy("j", "piece").agg(F.sum("uses").alias("uses"))
+        weights = np.tile(prior, (len(kinds), 1))
         for row in uses.collect():
-            weights[row.piece] += row.uses
-        logp = Lattice.fit(weights, pieces)
+            weights[row.j, row.piece] += row.uses
+        logp = np.array([Lattice.fit(w, pieces) for w in weights])
     shared = context.broadcast((hash(vocabulary), pieces, logp))
-    seen_words, p_end = max(stats.W, 1), (ends + 1) / (train_tokens + 2)
-    spread = discount * stats.V / seen_words if stats.W else 1.0
+    p_end = (n_ends + 1) / (train_tokens + 2)
     base_under = math.log10(train_tokens + distinct + 1)
 
     def weigh(batches):
         lattice, _, now = _lattice(shared)
         for batch in batches:
             if batch.num_rows:
-                c = batch.column(1).to_numpy()
+                c = np.stack([batch.column(2 + j).to_numpy() for j in range(len(now))], 1)
                 pieces_log = lattice.log_marginal(batch.column(0).to_pylist(), now)
                 with np.errstate(divide="ignore"):
-                    whole = np.log(np.maximum(c - discount, 0) / seen_words)
-                score = np.logaddexp(whole, pieces_log + math.log(spread)) + math.log(urn)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log10(c + 1.0) - base_under), pa.array(score)], ["word", "c", "n", "base", "score"])
+                    whole = np.log(np.maximum(c - discount, 0) / size)
+                score = np.logaddexp(whole, pieces_log + np.log(spread)) + math.log(urn)
+                offsets = pa.array(np.arange(0, score.size + 1, score.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(c.sum(1)), pa.array(np.log10(c.sum(1) + 1.0) - base_under), pa.ListArray.from_arrays(offsets, pa.array(score.ravel()))], ["word", "n", "c", "base", "score"]
+                )
 
-    weighed = materialize(counts.mapInArrow(weigh, "word binary, c long, n long, base double, score double"), "weights")
+    weighed = materialize(counts.select("word", "n", *own).mapInArrow(weigh, "word binary, n long, c long, base double, score array<double>"), "weights")
     # least count at which the words are few enough to be sent around
     steps = {r.b: r["count"] for r in weighed.groupBy(F.floor(F.log2("n") * 4).alias("b")).count().collect()}
     taken, least = 0, None
@@ -277,65 +314,57 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         if taken + steps[b] > frequent:
             break
         taken, least = taken + steps[b], b
-    often: dict[bytes, tuple[int, float, float, float]] = {}
-    if least is not None:
-        for r in weighed.where(F.floor(F.log2("n") * 4) >= least).select("word", "c", "base", "score").collect():
-            often[bytes(r.word)] = (int(r.c > 0), r.base, r.score, math.exp(r.score))
-    known_words = context.broadcast(often)
-    end_base = math.log10(ends + 1.0) - base_under
+    often = weighed.where(F.floor(F.log2("n") * 4) >= least).select("word", "c", "base", "score").collect() if least is not None else []
+    place = {bytes(r.word): j for j, r in enumerate(often)}
+    known_words = context.broadcast((place, np.array([r.c > 0 for r in often], np.int64), np.array([r.base for r in often]), np.exp(np.array([r.score for r in often]).reshape(len(often), len(kinds)))))
+    end_base = math.log10(n_ends + 1.0) - base_under
     log_next, log_end, log_urn = math.log1p(-p_end), math.log(p_end), math.lgamma(urn)
-    end_known = int(ends > 0)
-    names = ["row", "word", "tf", "id", "held_out", "n_tokens", "n_known", "base", "score"]
+    end_known = int(n_ends > 0)
+    out_names = ["row", "word", "tf", "id", "held_out", "n_tokens", "n_known", "base", "score"]
+    id_type = rows.schema["_id"].dataType
+    id_arrow = to_arrow_type(id_type)
+    lists = pa.list_(pa.float64())
+
+    def rare(part) -> pa.RecordBatch:
+        row, word, tf = ([x for p in part for x in p[j]] for j in range(3))
+        n = len(row)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), pa.nulls(n, id_arrow), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, lists)], out_names
+        )
 
     def split(batches):
-        table_, lgamma = known_words.value, math.lgamma
+        places, is_known, bases, weights = known_words.value
         for batch in batches:
             part: list[tuple[list, list, list]] = []
-            size = 0
+            wide = 0
             whole: list[tuple] = []
             for row, ident, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = tokens(text.as_py())
-                known, base, rare_words, rare_tf = end_known, end_base, [], []
-                score = log_end + len(words) * log_next + log_urn - lgamma(urn + len(words))
-                for word, tf in Counter(words).items():
-                    hit = table_.get(word)
-                    if hit is None:
-                        rare_words.append(word)
-                        rare_tf.append(tf)
-                    else:
-                        known += tf * hit[0]
-                        base += tf * hit[1]
-                        score += hit[2] if tf == 1 else lgamma(hit[3] + tf) - lgamma(hit[3])
-                whole.append((row, ident, held, len(words) + 1, known, base, score))
-                part.append(([row] * len(rare_words), rare_words, rare_tf))
-                size += len(rare_words)
-                if size > FLUSH:
+                uses = Counter(words)
+                at = [places.get(w, -1) for w in uses]
+                idx, tf = np.array(at, np.int64), np.fromiter(uses.values(), np.int64, len(uses))
+                hit = idx >= 0
+                rare_words = [w for w, j in zip(uses, at, strict=True) if j < 0]
+                idx = idx[hit]
+                score = log_end + len(words) * log_next + log_urn - math.lgamma(urn + len(words)) + log_rising(weights[idx], tf[hit])
+                whole.append((row, ident, held, len(words) + 1, end_known + int(tf[hit] @ is_known[idx]), end_base + float(tf[hit] @ bases[idx]), score.tolist()))
+                part.append(([row] * len(rare_words), rare_words, tf[~hit].tolist()))
+                wide += len(rare_words)
+                if wide > FLUSH:
                     yield rare(part)
-                    part, size = [], 0
-            if size:
+                    part, wide = [], 0
+            if wide:
                 yield rare(part)
             if whole:
                 row, ident, held, n, known, base, score = zip(*whole, strict=True)
                 none = pa.nulls(len(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row, pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(ident, batch.schema.field(1).type), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names
+                    [pa.array(row, pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(ident, batch.schema.field(1).type), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, lists)], out_names
                 )
 
-    id_type = rows.schema["_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_arrow = to_arrow_type(id_type)
-
-    def rare(part) -> pa.RecordBatch:
-        row, word, tf = ([x for p in part for x in p[j]] for j in range(3))
-        n = len(row)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), pa.nulls(n, id_arrow), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names
-        )
-
     parts = materialize(
         rows.select(F.monotonically_increasing_id().alias("row"), "_id", "held_out", "_text").mapInArrow(
-            split, f"row long, word binary, tf long, id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double"
+            split, f"row long, word binary, tf long, id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score array<double>"
         ),
         "parts",
     )
@@ -343,21 +372,24 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         parts.where(F.col("word").isNotNull()).select("row", "word", "tf")
         .join(weighed.select("word", "c", F.col("base").alias("wb"), F.col("score").alias("ws")), "word")
         .groupBy("row")
-        .agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("wb")).alias("b"), F.sum(_rising(F.col("ws"), F.col("tf"))).alias("s"))
+        .agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("wb")).alias("b"), *[F.sum(_rising(F.col("ws")[j], F.col("tf"))).alias(f"s{j}") for j in range(len(kinds))])
     )
     both = parts.where(F.col("word").isNull()).drop("word", "tf").join(rare_rows, "row", "left")
-    zero = F.lit(0)
-    return both.select(
+    shares = [math.log(ends.get(k, 0) / n_ends) if n_ends else 0.0 for k in kinds]
+    each = F.array(*[F.col("score")[j] + F.coalesce(f"s{j}", F.lit(0.0)) + shares[j] for j in range(len(kinds))])
+    summed = both.withColumn("_each", each).withColumn("_most", F.array_max("_each"))
+    score = F.col("_most") + F.log(F.aggregate("_each", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("_most"))))
+    return summed.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("k", zero)).cast("long").alias("n_known"),
+        (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        ((F.col("score") + F.coalesce("s", F.lit(0.0))) / _LN10).alias("score"),
+        (score / _LN10).alias("score"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_texts(docs, bucket_of(F.col("doc_id"), 7) == 2)
+    return score_texts(docs, bucket_of(F.col("doc_id"), 7) == 2, class_col="lang")

@@ -96,7 +96,7 @@ def test_lattice_sums_all_segmentations():
         return 1.0 if not rest else sum(p[x] * total(rest[len(x):]) for x in pieces if rest.startswith(x))
 
     words = [b"hat", b"that", b"t", "thé".encode(), b"xz" * 150]
-    got = lattice.log_marginal(words, logp)
+    got = lattice.log_marginal(words, logp)[:, 0]
     for w, g in zip(words[:4], got):
         assert np.isclose(g, math.log(total(b" " + w)) + logp[-1])
     assert np.isfinite(got).all()
