@@ -49,12 +49,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _drop_all() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             return
 
@@ -84,4 +87,20 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
     # without the schema, an empty table couldn't be read, and values in folder names would come back as text
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    back._stored_at = path
+    return back
+
+
+@contextmanager
+def scratch():
+    """Tables materialized inside are removed at the end, except those appended to the list that is given.
+
+    What is kept must be materialized itself, so that nothing reads the others any more.
+    """
+    begun, kept = len(_written), []
+    yield kept
+    stay = {df._stored_at for df in kept}
+    for spark, path in [w for w in _written[begun:] if w[1] not in stay]:
+        _remove(spark, path)
+        _written.remove((spark, path))
