@@ -7,35 +7,47 @@ differ in how they break ties, so that they agree by chance only rarely. Lengths
 (popcount of the XOR is at most the symmetric difference) are checked in the join.
 
 Sets, not documents, are joined: copies are one node. A key that holds more than GROUP nodes isn't
-paired off. All of it are compared with one hub, the node with the fewest rarer shingles; with D(x) = x XOR hub:
-  * x and y both linked to the hub are connected already;
-  * of other pairs in which both have similarity 2t-1 or more with the hub, a link needs a common element of D(x) and D(y), so they
-    are keyed anew by (hub, element);
-  * the other unlinked nodes share, if linked, one more shingle in prefixes one longer, and are keyed by (key, shingle).
-This repeats until no key is large, so every link between different sets is found or implied, and no group is paired off.
+paired off. It is split by size first, each node going to its own range of sizes and the next, as sizes of linked sets differ little. In
+what still is too large, all are compared with one hub, and keys with one hub become one group. Nodes linked to the hub are connected already; others
+meet the group's nodes, by sizes and 128-bit bitmaps up to MIDDLE of them and else as bitmaps of one to two bits a shingle, in numpy, BLOCK of
+them at a time, and only pairs that the bitmaps leave open go on.
+Groups over BLOCK are split before by pieces of the bitmap: where at most D bits differ, one of D + 1 pieces is equal. So every
+link between different sets is found or implied, and what is handed on grows with the links, not with the squares of the groups.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from labelsift.llm.common import materialize, table
+from labelsift.llm.common import arrow_batches, materialize, scratch, table
 from labelsift.llm.graph import components, spread_lookup
 
-#: Nodes of a key up to which they are compared pair by pair.
-GROUP = 8
+#: Nodes of a key up to which they are compared pair by pair, by sizes and bitmaps first.
+GROUP = 64
 #: Counters of the frequency sketch; its size doesn't grow with the data.
-COUNTERS = 1 << 20
-SLICE = 1 << 14
+COUNTERS = 1 << 22
+SLICE = 1 << 16
 ORDERS = 3
-#: Word hashes that a worker keeps.
-KEPT = 400_000
+#: Nodes of a group up to which those not linked to its hub meet the others by sizes and short bitmaps.
+MIDDLE = 512
+#: Nodes of a group whose whole bitmaps are compared in one task.
+BLOCK = 2048
+#: Ids up to which a filter of them is broadcast (8 bytes each); beyond, it is joined by shuffle.
+BROADCAST_IDS = 1 << 20
+#: Bytes of text that are hashed together.
+BLOCK = 1 << 20
+#: Shingles are hashes of so many bytes.
+BYTES = 6
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def mix(x: np.ndarray, k: int = 0) -> np.ndarray:
@@ -44,75 +56,100 @@ def mix(x: np.ndarray, k: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Shingler:
-    """Distinct shingle hashes of texts, ascending."""
-
-    def __init__(self, width: int):
-        import xxhash
-
-        self.width, self.hash, self.seen = width, xxhash.xxh3_64_intdigest, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        seen = self.seen
-        new = set(words).difference(seen)
-        if new:
-            if len(seen) + len(new) > KEPT:
-                seen.clear()
-                new = set(words)
-            for w in new:
-                seen[w] = self.hash(w)
-        h = np.fromiter((seen[w] for w in words), np.uint64, len(words))
-        n = min(self.width, len(h))
-        if not n:
-            return h
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = mix(out * _ODD[0] + h[k : len(h) - n + 1 + k], k)
-        return np.unique(out)
+class WordHasher:
+    """Hashes of the words of many texts at once: polynomials in an odd base modulo 2 ** 64, mixed."""
 
+    def __init__(self):
+        self.power = self.inverse = np.ones(1, np.uint64)
 
-def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, bits_a, bits_b, grams): node is the set's own hash, null for an empty set."""
-    kind = docs.schema[id_col].dataType
-
-    def read(batches):
-        shingle = Shingler(width)
-        for batch in batches:
-            sets = [shingle(t.as_py()) for t in batch.column(1)]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            nodes, bits = [], np.zeros((2, len(sets)), np.uint64)
-            for j, s in enumerate(sets):
-                nodes.append(np.int64(np.uint64(shingle.hash(s.tobytes(), len(s) + 1)).view(np.int64)) if len(s) else None)
-                odd = np.flatnonzero(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128) & 1)
-                for half in (0, 1):
-                    at = odd[(odd >= 64 * half) & (odd < 64 * half + 64)] - 64 * half
-                    bits[half, j] = np.bitwise_or.reduce(np.uint64(1) << at.astype(np.uint64)) if len(at) else 0
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(nodes, pa.int64()), pa.array(bits[0].view(np.int64)), pa.array(bits[1].view(np.int64)), grams], ["id", "n", "node", "bits_a", "bits_b", "grams"])
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            base = int(_ODD[0])
+            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _ODD[0])]), dtype=np.uint64)
+            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(base, -1, 1 << 64)))]), dtype=np.uint64)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        read, f"id {kind.simpleString()}, n long, node long, bits_a long, bits_b long, grams array<long>"
-    )
-
-
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().to_numpy(zero_copy_only=False)
-
-
-def frequency_classes(sets: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """For each counter of the sketch, how far (in doublings) its count is above twice the mean; 0 for most."""
+    def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word hashes, number of words of each text); texts begin at ``starts`` in ``data``."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+        self._grow(n)
+        inside = ~_SPACE[data]
+        edge = np.zeros(n + 1, bool)
+        edge[starts] = True
+        edge[[0, n]] = True
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | edge[1:n]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | edge[1:n]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        total = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * self.power[:n], dtype=np.uint64)])
+        hashes = mix((total[end] - total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64) * _ODD[1])
+        at = np.searchsorted(begin, np.append(starts, n))
+        return hashes, np.diff(at)
+
+
+def text_shingles(column: pa.Array, width: int, hasher: WordHasher):
+    """Of each text in order: its shingles in order, with repeats."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    j = 0
+    while j < len(column):
+        to = max(j + 1, int(np.searchsorted(offsets, offsets[j] + BLOCK, "right")) - 1)
+        to = min(to, len(column))
+        hashes, counts = hasher(data[offsets[j] : offsets[to]], offsets[j:to] - offsets[j])
+        wide = np.zeros(0, np.uint64)
+        if len(hashes) >= width:
+            wide = np.full(len(hashes) - width + 1, width, np.uint64)
+            for k in range(width):
+                wide = mix(wide * _ODD[0] + hashes[k : len(hashes) - width + 1 + k], k)
+        at = 0
+        for c in counts.tolist():
+            if c >= width:
+                yield wide[at : at + c - width + 1] >> np.uint64(64 - 8 * BYTES)
+            else:
+                out = np.full(min(c, 1), c, np.uint64)
+                for k in range(c):
+                    out = mix(out * _ODD[0] + hashes[at + k], k)
+                yield out >> np.uint64(64 - 8 * BYTES)
+            at += c
+        j = to
+
+
+def pack(values: np.ndarray, width: int = BYTES) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(data: bytes, width: int = BYTES) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
+
+
+def frequency_classes(docs: DataFrame, width: int, text_col: str, counters: int = COUNTERS) -> np.ndarray:
+    """For each counter of the sketch, how far (in doublings) its count of shingles is above twice the mean; 0 for most."""
+
+    def tally(total, waiting):
+        total += np.bincount((np.concatenate(waiting) % np.uint64(counters)).astype(np.int64), minlength=counters).astype(np.uint32)
 
     def count(batches):
-        total = np.zeros(counters, np.int64)
+        total, hasher = np.zeros(counters, np.uint32), WordHasher()
+        waiting, size = [], 0
         for batch in batches:
-            flat, _ = _flat(batch.column(0))
-            total += np.bincount((flat % np.uint64(counters)).astype(np.int64), minlength=counters)
+            for s in text_shingles(batch.column(0), width, hasher):
+                waiting.append(s)
+                size += len(s)
+                if size > 1 << 20:
+                    tally(total, waiting)
+                    waiting, size = [], 0
+        if waiting:
+            tally(total, waiting)
         for k in range(0, counters, SLICE):
             part = total[k : k + SLICE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)])], ["slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(part.tobytes(), 1)])], ["slice", "counts"])
 
     def add(key, parts):
         total = np.zeros(SLICE, np.int64)
@@ -121,133 +158,295 @@ def frequency_classes(sets: DataFrame, counters: int = COUNTERS) -> np.ndarray:
         return pa.table({"slice": [key[0].as_py()], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     counts = np.zeros(counters, np.int64)
-    for row in sets.select("grams").mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect():
+    for row in docs.select(text_col).mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect():
         counts[row.slice : row.slice + SLICE] = np.frombuffer(zlib.decompress(row.counts), np.int64)
     return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / (2 * counts.mean() + 1)))).astype(np.uint8)
 
 
-def least_common(n: np.ndarray | int, num: int, den: int):
+def prefix(values: np.ndarray, heavy: np.ndarray, order: int, length: int) -> np.ndarray:
+    """The first ``length`` of a set in an order: by frequency class, then by the order's own hash."""
+    rank = heavy | (mix(values, order) >> np.uint64(6))
+    n = len(values)
+    if length < n // 2:  # most lie beyond the cut: look only below a bound that surely leaves enough, or at all
+        low = rank < np.uint64(min(1.0, (length + 4 * length**0.5 + 4) / n) * (1 << 58))
+        if np.count_nonzero(low) >= length:
+            values, rank = values[low], rank[low]
+    return values[np.argsort(rank, kind="stable")[:length]]
+
+
+def shingle_sets(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, orders: int = ORDERS) -> DataFrame:
+    """(id, n, node, bits_a, bits_b, grams, first, others). ``node`` is the set's own hash, null for an empty set; ``first`` the prefix in
+    the first order, ``others`` the prefixes in the other orders, in 4 bytes each."""
+    kind = docs.schema[id_col].dataType
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, width, text_col))
+
+    def read(batches):
+        classes, hasher = shared.value, WordHasher()
+        import xxhash
+
+        for batch in batches:
+            out: list[tuple] = []
+            for s in text_shingles(batch.column(1), width, hasher):
+                s = np.unique(s)
+                if not len(s):
+                    out.append((0, None, 0, 0, None, None, None, None))
+                    continue
+                grams = pack(s)
+                wide = parity(s)
+                bits = int.from_bytes(fold(np.frombuffer(wide, np.uint8), 16).tobytes(), "little")
+                heavy = classes[(s % np.uint64(len(classes))).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+                cut = len(s) - least_common(len(s), num, den) + 1
+                first = prefix(s, heavy, 1, cut)
+                others = b"".join(pack(prefix(s, heavy, k + 1, cut), 4) for k in range(1, orders))
+                node = xxhash.xxh3_64_intdigest(grams)
+                out.append((len(s), node - (1 << 64) if node >> 63 else node, _signed(bits & _WORD), _signed(bits >> 64), wide, grams, pack(first), others))
+            if out:
+                n, node, a, b, wide, grams, first, others = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, node, a, b)), *(pa.array(x, pa.binary()) for x in (wide, grams, first, others))], ["id", "n", "node", "bits_a", "bits_b", "wide", "grams", "first", "others"]
+                )
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        read, f"id {kind.simpleString()}, n long, node long, bits_a long, bits_b long, wide binary, grams binary, first binary, others binary"
+    )
+
+
+def parity(values: np.ndarray) -> bytes:
+    """A bitmap of one to two bits a shingle, 128 at least, in which each shingle flips one bit."""
+    bits = max(128, 1 << max(len(values) - 1, 1).bit_length())
+    return np.packbits(np.bincount((values % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set in ``size`` bytes."""
+    while len(bitmap) > size:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """What two sets differ in at least, by their bitmaps."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(fold(np.frombuffer(a, np.uint8), size) ^ fold(np.frombuffer(b, np.uint8), size)).sum())
+
+
+_WORD = (1 << 64) - 1
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def least_common(n: int, num: int, den: int) -> int:
     """Least size of the common part of a set of n and any set similar to it."""
     return -((-num * n) // den)
 
 
-def prefix_orders(sets: DataFrame, classes: np.ndarray, num: int, den: int, orders: int = ORDERS) -> DataFrame:
-    """``sets`` with grams in the first order, and ``prefixes``: for each other order, the shingles before the cut."""
-    shared = sets.sparkSession.sparkContext.broadcast(classes)
+def prefix_rows(sets: DataFrame) -> DataFrame:
+    """(key, node): the shingles before the cut in the first order. Copies of a set are one node."""
+
+    def read(batches):
+        for batch in batches:
+            keys, nodes = [], []
+            for node, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = unpack(first)
+                keys.append(got.astype(np.int64))
+                nodes.append(np.full(len(got), node, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], ["key", "node"])
+
+    once = sets.select("node", "first").groupBy("node").agg(F.first("first").alias("first"))
+    return once.mapInArrow(read, "key long, node long")
+
+
+def sift(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, hub) of (x, y, hub, nx, ny, wx, wy): pairs that sizes and bitmaps don't rule out."""
+
+    def read(batches):
+        for batch in batches:
+            out = []
+            for x, y, hub, nx, ny, wx, wy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # |x XOR y| of sets of similarity t is at most (1 - t) / (1 + t) of their sizes' sum
+                if max(least_difference(wx, wy), abs(nx - ny)) * (den + num) <= (den - num) * (nx + ny):
+                    out.append((x, y, hub))
+            if out:
+                x, y, hub = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(hub, pa.bool_())], ["x", "y", "hub"])
+
+    return pairs.select("x", "y", "hub", "nx", "ny", "wx", "wy").mapInArrow(read, "x long, y long, hub boolean")
+
+
+def judge(pairs: DataFrame, num: int, den: int, orders: int = ORDERS) -> DataFrame:
+    """(x, y, hub) of the pairs (x, y, hub, sx, sy) that are linked.
+
+    A pair without a hub must share a prefix shingle in every other order before its common part is counted.
+    """
 
     def read(batches):
-        rank = shared.value
         for batch in batches:
-            flat, lens = _flat(batch.column(4))
-            # class before hash; one sort of the batch for each order
-            heavy = rank[(flat % np.uint64(len(rank))).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-            owner = np.repeat(np.arange(len(lens)), lens)
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64) if len(lens) else np.zeros(0, np.int64)
-            keep = lens - least_common(lens, num, den) + 1
-            chosen = []
-            for k in range(orders):
-                by = np.lexsort((heavy | (mix(flat, k + 1) >> np.uint64(6)), owner))
-                if k:
-                    place = np.arange(len(flat)) - starts[owner]
-                    chosen.append(flat[by][place < keep[owner]])
-                else:
-                    ordered = flat[by]
-            # shingles of all other orders, one list a set: those of order k from place (k - 1) * keep
-            kept = np.minimum(keep, lens)
-            parts = np.zeros(int(kept.sum()) * len(chosen), np.uint64)
-            at = np.concatenate([[0], np.cumsum(kept * len(chosen))]).astype(np.int64)
-            inner = np.arange(int(kept.sum())) - np.repeat(np.concatenate([[0], np.cumsum(kept)[:-1]]).astype(np.int64) if len(kept) else np.zeros(0, np.int64), kept)
-            own = np.repeat(np.arange(len(kept)), kept)
-            for k, c in enumerate(chosen):
-                parts[at[own] + k * kept[own] + inner] = c
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.ListArray.from_arrays(offsets, pa.array(ordered.view(np.int64))), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(parts.view(np.int64)))],
-                ["node", "n", "bits_a", "bits_b", "grams", "others"],
-            )
-
-    return sets.select("node", "n", "bits_a", "bits_b", "grams").mapInArrow(read, "node long, n long, bits_a long, bits_b long, grams array<long>, others array<long>")
-
-
-def _keep(n: Column, num: int, den: int) -> Column:
-    """Length of the prefix of a set of n."""
-    return (n - F.ceil(n * F.lit(num) / F.lit(den)) + 1).cast("int")
-
-
-def links(ordered: DataFrame, num: int, den: int, group: int = GROUP, orders: int = ORDERS) -> DataFrame:
+            out = []
+            for x, y, hub, sx, sy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cuts = [s["n"] - least_common(s["n"], num, den) + 1 for s in (sx, sy)]
+                a, b = (np.frombuffer(s["others"], "<u4") for s in (sx, sy))
+                if not all(set(a[k * cuts[0] : (k + 1) * cuts[0]].tolist()) & set(b[k * cuts[1] : (k + 1) * cuts[1]].tolist()) for k in range(orders - 1)):
+                    continue
+                a, b = unpack(sx["grams"]), unpack(sy["grams"])
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if den * common >= num * (len(a) + len(b) - common):
+                    out.append((x, y, hub))
+            if out:
+                x, y, hub = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(hub, pa.bool_())], ["x", "y", "hub"])
+
+    return pairs.select("x", "y", "hub", "sx", "sy").mapInArrow(read, "x long, y long, hub boolean")
+
+
+def _held(sets: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the nodes of pairs (x, y), once each."""
+    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return sets.select("node", *columns).join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
+
+
+def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int, orders: int) -> DataFrame:
+    """(x, y, hub) of the pairs (x, y, hub) that are linked: bitmaps first, then prefixes under the other orders, then the sets."""
+    pairs = materialize(pairs.groupBy("x", "y").agg(F.bool_or("hub").alias("hub")), "pairs")
+    maps = _held(sets, pairs, ["n", "wide"])
+    both = pairs.join(maps.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("wide").alias("wx")), "x").join(maps.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("wide").alias("wy")), "y")
+    with arrow_batches(sets.sparkSession, 2000):
+        close = materialize(sift(both, num, den), "sifted")
+    full = _held(sets, close, ["n", "grams", "others"]).select("node", F.struct("n", "grams", "others").alias("s"))
+    both = close.join(full.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(full.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
+    with arrow_batches(sets.sparkSession, 200):
+        return materialize(judge(both, num, den, orders), "links")
+
+
+def _fits(x: str, y: str, num: int, den: int) -> Column:
+    """Whether two sides' sizes and short bitmaps leave a link open."""
+    n_x, n_y = F.col(f"n_{x}"), F.col(f"n_{y}")
+    differ = F.bit_count(F.col(f"bits_a_{x}").bitwiseXOR(F.col(f"bits_a_{y}"))) + F.bit_count(F.col(f"bits_b_{x}").bitwiseXOR(F.col(f"bits_b_{y}")))
+    return (den * F.least(n_x, n_y) >= num * F.greatest(n_x, n_y)) & (differ * (den + num) <= (den - num) * (n_x + n_y))
+
+
+def _pairs(active: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, hub) of keys of few nodes, by sizes and short bitmaps; if there is a column must, one of the two must have it."""
+    own = ["node", "n", "bits_a", "bits_b"] + ["must"] * ("must" in active.columns)
+    left, right = (active.select("key", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in ("x", "y"))
+    fits = (F.col("node_x") < F.col("node_y")) & _fits("x", "y", num, den)
+    if "must" in active.columns:
+        fits = fits & (F.col("must_x") | F.col("must_y"))
+    return left.join(right, "key").where(fits).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), F.lit(False).alias("hub"))
+
+
+def _with_size(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, degree, ...) of keys with company, with size and hub: the node of most shared keys, which has fewest shingles of its own."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("degree", "node"))["node"].alias("hub")).where("size > 1")
+    return rows.join(counts, "key")
+
+
+def _bitmap_matrix(wide: list[bytes]) -> np.ndarray:
+    size = min(map(len, wide))
+    return np.stack([fold(np.frombuffer(w, np.uint8), size) for w in wide])
+
+
+def compare(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, hub) of (key, node, n, must, wide): pairs of a key, one of which must be linked yet, that sizes and bitmaps leave open."""
+
+    def pair(key, rows):
+        node, n, must = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "must"))
+        bits = _bitmap_matrix(rows.column("wide").to_pylist())
+        found: list[np.ndarray] = []
+        step = max(1, (1 << 24) // max(1, bits.size))
+        for at in range(0, len(node), step):
+            part = slice(at, at + step)
+            differ = np.bitwise_count(bits[part, None] ^ bits[None]).sum(-1, dtype=np.int64)
+            a, b = n[part, None], n[None]
+            fits = (differ * (den + num) <= (den - num) * (a + b)) & (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (must[part, None] | must[None])
+            i, j = np.nonzero(fits)
+            i = i + at
+            found.append(np.stack([node[i], node[j]], 1)[node[i] < node[j]])
+        got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"x": got[:, 0], "y": got[:, 1], "hub": np.zeros(len(got), bool)})
+
+    return groups.select("key", "node", "n", "must", "wide").groupBy("key").applyInArrow(pair, "x long, y long, hub boolean")
+
+
+def split_by_pieces(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of large groups keyed anew by the pieces of their bitmaps; ``bits`` and ``most`` are the group's least bitmap, in bytes, and greatest set."""
+
+    def read(batches):
+        import xxhash
+
+        for batch in batches:
+            key, node, n, must, wide, size, most = (c.to_pylist() for c in batch.columns)
+            out: list[tuple] = []
+            for row in zip(key, node, n, must, wide, size, most, strict=True):
+                bits = np.unpackbits(fold(np.frombuffer(row[4], np.uint8), row[5]), bitorder="little")
+                pieces = min((den - num) * 2 * row[6] // (den + num) + 1, len(bits))
+                for k, piece in enumerate(np.array_split(bits, pieces)):
+                    h = xxhash.xxh3_64_intdigest(piece.tobytes(), (row[0] * 31 + k) & _WORD)
+                    out.append((_signed(h), *row[1:5]))
+            if out:
+                key, node, n, must, wide = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(must, pa.bool_()), pa.array(wide, pa.binary())], ["key", "node", "n", "must", "wide"])
+
+    edges = groups.groupBy("key").agg(F.min(F.octet_length("wide")).alias("bits"), F.max("n").alias("most"))
+    rows = groups.join(edges, "key").select("key", "node", "n", "must", "wide", "bits", "most")
+    return rows.mapInArrow(read, "key long, node long, n long, must boolean, wide binary").dropDuplicates(["key", "node"])
+
+
+def in_blocks(groups: DataFrame, block: int) -> DataFrame:
+    """Rows of groups of any size keyed anew so that any two rows of a group meet in a key of about ``block`` rows."""
+    parts = F.ceil(2 * F.col("size") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    met = groups.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return met.withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other", "size")
+
+
+def links(sets: DataFrame, num: int, den: int, group: int = GROUP, middle: int = MIDDLE, block: int = BLOCK, orders: int = ORDERS) -> DataFrame:
     """(a, b): links between different nodes that connect all nodes that similar sets connect."""
-    keep = _keep(F.col("n"), num, den)
-    near_num, near_den = 2 * num - den, den
-    facts = ["node", "n", "bits_a", "bits_b"]
-    rows = ordered.select(*facts, F.posexplode(F.slice("grams", F.lit(1), keep)).alias("rank", "key"))
-    # copies of a set are one node
-    rows = rows.groupBy("key", "node").agg(F.min("rank").alias("rank"), *[F.first(c).alias(c) for c in facts[1:]])
-    rows = rows.withColumn("must", F.lit(True)).withColumn("path", F.array("key"))
-    found, depth = None, 1
-    while True:
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rank", "node")).alias("hub"), F.bool_or("must").alias("any")).where("size > 1 AND any").drop("any")
-        active = materialize(rows.join(counts, "key"), "keys")
-        cold = active.where(F.col("size") <= group)
-        left = cold.select("key", *[F.col(c).alias(f"{c}_x") for c in [*facts, "must"]])
-        right = cold.select("key", *[F.col(c).alias(f"{c}_y") for c in [*facts, "must"]])
-        n_x, n_y = F.col("n_x"), F.col("n_y")
-        bound = (F.lit(den - num) * (n_x + n_y)) / F.lit(den + num)
-        differ = F.bit_count(F.col("bits_a_x").bitwiseXOR(F.col("bits_a_y"))) + F.bit_count(F.col("bits_b_x").bitwiseXOR(F.col("bits_b_y")))
-        pairs = (
-            left.join(right, "key")
-            .where((F.col("node_x") < F.col("node_y")) & (F.col("must_x") | F.col("must_y")))
-            .where((den * F.least(n_x, n_y) >= num * F.greatest(n_x, n_y)) & (differ <= bound + 1e-6))
-            .select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), F.lit(False).alias("hub"))
-        )
-        hot = active.where((F.col("size") > group) & (F.col("node") != F.col("hub.node")))
-        pairs = pairs.union(hot.select(F.col("node").alias("x"), F.col("hub.node").alias("y"), F.lit(True))).groupBy("x", "y").agg(F.bool_or("hub").alias("hub"))
-        pairs = materialize(pairs, "pairs")
-        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        held = ordered.join(wanted, "node", "left_semi").groupBy("node").agg(F.first(F.struct("n", "grams", "others")).alias("s"))
-        both = pairs.join(held.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(held.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
-        # a candidate shares a prefix shingle under every order
-        share = F.lit(True)
-        for k in range(orders - 1):
-            a, b = (F.slice(F.col(f"{s}.others"), k * _cut(s, num, den) + 1, _cut(s, num, den)) for s in ("sx", "sy"))
-            share = share & F.arrays_overlap(a, b)
-        common = F.size(F.array_intersect("sx.grams", "sy.grams"))
-        both = both.where(F.col("hub") | share).withColumn("common", common).withColumn("union", F.col("sx.n") + F.col("sy.n") - F.col("common"))
-        linked = den * F.col("common") >= num * F.col("union")
-        near = near_den * F.col("common") >= near_num * F.col("union")
-        apart = F.array_union(F.array_except("sx.grams", "sy.grams"), F.array_except("sy.grams", "sx.grams"))
-        more = F.slice("sx.grams", F.lit(1), _cut("sx", num, den) + depth)
-        judged = materialize(
-            both.select("x", "y", "hub", linked.alias("linked"), near.alias("near"), F.when(F.col("hub") & near, apart).alias("apart"), F.when(F.col("hub") & ~linked, more).alias("more")),
-            "judged",
-        )
-        new = judged.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = new if found is None else found.union(new)
-        hubs = judged.where("hub")
-        if hubs.isEmpty():
-            return found.distinct()
-        own = active.where(F.col("size") > group).select("key", "path", *facts, F.col("hub.node").alias("y")).withColumnRenamed("node", "x").where("x <> y")
-        # keys of the first round that have one hub are one group; later groups are parts of their group without its hub, so they end
-        parent = F.lit(0).cast("long") if depth == 1 else F.col("key")
-        around = hubs.where("near").select("x", "y", F.explode("apart").alias("element"), (~F.col("linked")).alias("must"), F.size("apart").alias("rank"))
-        closer = around.join(own.select(parent.alias("key"), "x", "y", "n", "bits_a", "bits_b").distinct(), ["x", "y"]).select(
-            F.xxhash64(F.lit("around"), "key", "y", "element").alias("key"), F.col("x").alias("node"), "rank", "n", "bits_a", "bits_b", "must", F.array().cast("array<bigint>").alias("path")
-        )
-        beyond = own.join(hubs.where("NOT linked").select("x", "y", "more"), ["x", "y"]).select(F.col("x").alias("node"), *facts[1:], "key", "path", F.posexplode("more").alias("rank", "next"))
-        # a key is a set of shingles, reached in any order
-        longer = F.array_sort(F.concat("path", F.array("next")))
-        further = beyond.where(~F.array_contains("path", F.col("next"))).select(
-            F.when(F.size("path") > 0, F.xxhash64(F.lit("beyond"), longer)).otherwise(F.xxhash64(F.lit("beyond"), "key", "next")).alias("key"), "node", "rank", *facts[1:], F.lit(True).alias("must"),
-            F.when(F.size("path") > 0, longer).otherwise(F.array("next")).alias("path"),
-        )
-        rows = closer.unionByName(further).groupBy("key", "node").agg(F.min("rank").alias("rank"), *[F.first(c).alias(c) for c in facts[1:]], F.bool_or("must").alias("must"), F.first("path").alias("path"))
-        depth += 1
-
-
-def _cut(side: str, num: int, den: int) -> Column:
-    return _keep(F.col(f"{side}.n"), num, den)
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    facts = sets.select("node", "n", "bits_a", "bits_b").distinct()
+    rows = prefix_rows(sets)
+    shared = rows.groupBy("key").count().where("count > 1").select("key")
+    active = materialize(rows.join(shared, "key"), "shared")
+    degree = active.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    active = materialize(_with_size(active.join(degree, "node").join(facts, "node")), "keys")
+    first = _pairs(active.where(F.col("size") <= group), num, den)
+    # sizes n and m of linked sets have m >= t n: they lie in one range of the logarithm to base 1/t, or in neighbouring ones
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) or 1e-12) - 1e-9)
+    own = ["node", "n", "bits_a", "bits_b"]
+    ranged = active.where(F.col("size") > group).select(F.explode(F.array(step, step + 1)).alias("step"), "key", "degree", *own)
+    ranged = materialize(_with_size(ranged.select(F.xxhash64("key", "step").alias("key"), "degree", *own)), "ranges")
+    second = _pairs(ranged.where(F.col("size") <= group), num, den)
+    hot = materialize(ranged.where(F.col("size") > group).select("hub", *own).distinct(), "hot")
+    # the hub is its group's own member, so its facts are there
+    sides = hot.select("hub", *[F.col(c).alias(f"{c}_x") for c in own]).join(facts.select(*[F.col(c).alias(f"{c}_y") for c in own]), F.col("hub") == F.col("node_y"))
+    hubs = sides.where((F.col("node_x") != F.col("node_y")) & _fits("x", "y", num, den)).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), F.lit(True).alias("hub"))
+    found = verify(sets, first.union(second).union(hubs), num, den, orders)
+    out = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if hot.isEmpty():
+        return out
+    linked = found.where("hub").select(F.col("x").alias("node"), F.col("y").alias("hub"), F.lit(False).alias("must"))
+    marked = hot.join(linked, ["node", "hub"], "left").select(F.col("hub").alias("key"), *own, F.coalesce("must", F.col("node") != F.col("hub")).alias("must"))
+    open_ = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("must").alias("any")).where("any").drop("any")
+    rest = materialize(marked.join(open_, "key"), "open")
+    pairs = _pairs(rest.where(F.col("size") <= middle), num, den)
+    rest = rest.where(F.col("size") > middle).select("key", "node", "n", "must", "size")
+    wide = sets.select("node", "wide").join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide"))
+    rest = materialize(rest.join(wide, "node"), "wide")
+    pairs = pairs.union(compare(rest.where(F.col("size") <= block), num, den))
+    large = rest.where(F.col("size") > block).drop("size")
+    if not large.isEmpty():
+        pieces = split_by_pieces(large, num, den)
+        counts = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("must").alias("any")).where("size > 1 AND any").drop("any")
+        pieces = materialize(pieces.join(counts, "key"), "pieces")
+        pairs = pairs.union(compare(pieces.where(F.col("size") <= block), num, den)).union(compare(in_blocks(pieces.where(F.col("size") > block), block), num, den))
+    more = verify(sets, pairs, num, den, orders)
+    return out.union(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, middle: int = MIDDLE, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles and component_id, the least id that links reach.
 
     Two rows are linked when den * |common shingles| >= num * |all shingles| of their sets of ``width``-word shingles (of
@@ -255,16 +454,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     A null id never is a component's least unless all its ids are null. Repeated rows are linked to each other; other columns are
     ignored; an empty table gives no rows. Ids are integers.
     """
-    sets = materialize(shingle_sets(docs, width, id_col, text_col), "sets")
-    full = sets.where(F.col("node").isNotNull())
-    ordered = materialize(prefix_orders(full, frequency_classes(full), num, den), "ordered")
-    edges = links(ordered, num, den, group)
-    nodes = full.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
+    with scratch() as kept:
+        with arrow_batches(docs.sparkSession, 1000):
+            sets = materialize(shingle_sets(docs, width, num, den, id_col, text_col), "sets")
+        members = materialize(sets.select("id", "n", "node"), "members")
+        edges = materialize(links(sets.where(F.col("node").isNotNull()), num, den, group, middle, block), "edges")
+        kept += [members, edges]
+    nodes = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
     reach = components(edges, "reach").join(nodes.select("node", "least"), "node")
     classes = reach.groupBy("component").agg(F.min("least").alias("component_id"))
     merged = reach.join(classes, "component").select("node", "component_id")
     alone = nodes.where("size > 1").join(merged, "node", "left_anti").select("node", F.col("least").alias("component_id"))
-    result = spread_lookup(sets.select("id", "n", "node"), ["node"], merged.union(alone), F.col("id"))
+    result = spread_lookup(members, ["node"], merged.union(alone), F.col("id"))
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -181,8 +181,8 @@ def roots(pairs):
     return find
 
 
-@pytest.mark.parametrize("width,num,group,block", [(3, 90, 64, 2048), (3, 90, 2, 3), (5, 80, 2, 1 << 20), (2, 50, 3, 4)])
-def test_shingle_join(spark, width, num, group, block):
+@pytest.mark.parametrize("width,num,group,middle,block", [(3, 90, 64, 512, 2048), (3, 90, 2, 2, 3), (5, 80, 2, 2, 1 << 20), (2, 50, 3, 8, 10), (3, 90, 2, 1 << 20, 1 << 20)])
+def test_shingle_join(spark, width, num, group, middle, block):
     rng = random.Random(width)
     base = [prose(rng, 80).split() for _ in range(4)]
     texts = []
@@ -197,7 +197,7 @@ def test_shingle_join(spark, width, num, group, block):
     sets = {i: shingles(t, width) for i, t in rows}
     ids = sorted(sets)
     find = roots((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]))
-    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)), width, num, 100, group=group, block=block).collect()
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)), width, num, 100, group=group, middle=middle, block=block).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
