@@ -21,8 +21,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines stay where they (or lines two edits off) occur first; a document of which no line is left goes."""
-    return edit_join.without_copies(docs, edit_join.dedup_lines(docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Lines stay where they (or, from 20 characters, lines two edits off) occur first; a document of which no line is left goes."""
+    return edit_join.without_copies(docs, edit_join.dedup_lines(docs, short=True)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,29 @@ def test_line_dedup(spark, group, block):
     assert edit_join.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_short_lines(spark, monkeypatch):
+    long = "a line that is long enough for edits"
+    rows = [(1, f"Erheed. Titionly.\n{long}\n\n  Erheed. Titionly. \n}}\nÉté"), (2, f"By To.\nErheed. Titionly.\nErheed. Titionlx.\n{long}z\n}}\nÉté\n"), (3, "By To.\nBy To."), (None, "Nt onor. The of it."), (4, "Nt onor. The of it."), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(edit_join, "table", lambda *_: df)
+    decided = edit_join.query(spark, "")
+    got = {(r.doc_id, r.line_no): r for r in decided.collect()}
+    where = collections.defaultdict(list)
+    for i, t in rows:
+        for no, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                where[line.strip().removesuffix("z")].append((-1 if i is None else i, no))
+    assert {(-1 if i is None else i, no) for i, no in got} == {place for places in where.values() for place in places}
+    for line, places in where.items():
+        for i, no in places:
+            r = got[None if i < 0 else i, no]
+            first = min(places)
+            assert (-1 if r.first_id is None else r.first_id, r.first_line) == first and r.class_size == len(places)
+            assert r.kept == (line == "}" or (i, no) == first)
+    left = {r.doc_id: r.text for r in edit_join.without_copies(df, decided).collect()}
+    assert left == {1: f"Erheed. Titionly.\n{long}\n\n}}\nÉté", 2: "By To.\nErheed. Titionlx.\n}\n", None: "Nt onor. The of it.", 5: None}
+
+
 def test_token_counts(spark, docs):
     df, rows = docs
     import tiktoken
