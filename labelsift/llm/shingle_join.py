@@ -40,7 +40,7 @@ BLOCK = 2048
 #: Ids up to which a filter of them is broadcast (8 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bytes of text that are hashed together.
-BLOCK = 1 << 20
+TEXT_BLOCK = 1 << 20
 #: Shingles are hashes of so many bytes.
 BYTES = 6
 
@@ -97,7 +97,7 @@ def text_shingles(column: pa.Array, width: int, hasher: WordHasher):
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     j = 0
     while j < len(column):
-        to = max(j + 1, int(np.searchsorted(offsets, offsets[j] + BLOCK, "right")) - 1)
+        to = max(j + 1, int(np.searchsorted(offsets, offsets[j] + TEXT_BLOCK, "right")) - 1)
         to = min(to, len(column))
         hashes, counts = hasher(data[offsets[j] : offsets[to]], offsets[j:to] - offsets[j])
         wide = np.zeros(0, np.uint64)

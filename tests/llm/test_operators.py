@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import zlib
@@ -209,6 +210,13 @@ def test_shingle_join_edges(spark, docs):
     assert got.count() == len(rows) and shingle_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_shingle_join_block_is_one_of_nodes():
+    """Groups over BLOCK nodes take the split path by default; the bytes of text hashed together are another constant."""
+    for f in (shingle_join.links, shingle_join.near_duplicates):
+        assert inspect.signature(f).parameters["block"].default == shingle_join.BLOCK == 2048
+    assert shingle_join.TEXT_BLOCK == 1 << 20
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
