@@ -340,13 +340,23 @@ def _(s, d):
     return cluster.profile(t, "c_nationkey", ["c_acctbal"], ["owing"], "label", "trusted").select("c_nationkey", "n", F.round("median_c_acctbal", 4).alias("median_c_acctbal"), F.round("owing_pct", 6).alias("owing_pct"), F.round("share_pct", 6).alias("share_pct"))
 
 
+#: Rows that online training takes on the driver (51 MB of 64 values); tables beyond are trained on by the batch rule.
+TRAIN_ROWS = 100_000
+PASSES = 10
+
+
 def small_map(s, d) -> tuple[som.Som, DataFrame]:
-    rows = vectors(s, d).withColumn("v", F.slice("v", 1, 8))
-    train = np.array([r.v for r in rows.orderBy("vec_id").limit(2000).collect()])  # online training is sequential; its sample is bounded
-    m = som.Som(6, 6, 8, sigma=3.0, seed=42)
+    """A map of the whole vectors, trained on all rows. Over TRAIN_ROWS rows only the start is from a sample, by hash."""
+    rows = vectors(s, d)
+    few = rows.limit(TRAIN_ROWS + 1).count() <= TRAIN_ROWS
+    held = rows.orderBy("vec_id") if few else sampling.sample(rows, "vec_id", TRAIN_ROWS, 42)
+    train = np.array([r.v for r in held.select("v").collect()])
+    m = som.Som(6, 6, train.shape[1], sigma=3.0, seed=42)
     m.start_from_axes(train)
-    m.train(train, 5 * len(train), shuffled=True)
-    return m, rows
+    if few:
+        m.train(train, PASSES * len(train), shuffled=True)
+        return m, rows
+    return som.train_batch(rows, "v", m, PASSES), rows
 
 
 @query("ml_som")
@@ -371,18 +381,23 @@ def _(s, d):
 
 @query("ml_linkage")
 def _(s, d):
+    """Trees of the prototypes, and of a sample of LINKAGE_ROWS rows at most, stratified by label and in order of vec_id."""
     m, rows = small_map(s, d)
+    n, strata = rows.agg(F.count(lit(1)), F.count_distinct("label")).first()
+    # each stratum's size is rounded, so the share leaves one row for each
+    share = 1.0 if n <= cluster.LINKAGE_ROWS else (cluster.LINKAGE_ROWS - strata - 1) / n
+    held = sampling.stratified_sample(rows, "vec_id", share, 42, ["label"]).orderBy("vec_id").select("v").collect()
     out = []
-    for method in ("single", "complete", "average", "centroid"):
-        tree = cluster.linkage(m.weights.reshape(-1, 8), method)
-        out += [(method, i, int(a), int(b), float(h), int(n)) for i, (a, b, h, n) in enumerate(tree)]
-    return s.createDataFrame(out, "linkage string, step int, a int, b int, height double, size int")
+    for part, points in (("prototypes", m.weights.reshape(-1, m.n_features)), ("sample", np.array([r.v for r in held]))):
+        for method in ("single", "complete", "average", "centroid"):
+            out += [(part, method, i, int(a), int(b), float(h), int(k)) for i, (a, b, h, k) in enumerate(cluster.linkage(points, method))]
+    return s.createDataFrame(out, "points string, linkage string, step int, a int, b int, height double, size int")
 
 
 @query("ml_som_clusters")
 def _(s, d):
     m, rows = small_map(s, d)
-    labels = cluster.cut(cluster.linkage(m.weights.reshape(-1, 8), "complete"), 4)
+    labels = cluster.cut(cluster.linkage(m.weights.reshape(-1, m.n_features), "complete"), 4)
     nodes = s.createDataFrame([(i, int(k)) for i, k in enumerate(labels)], "node int, cluster int")
     return cluster.propagate(som.assign(rows, "vec_id", "v", m.frame(s)), nodes).select("vec_id", "node", "cluster")
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelsift.operators import classify, cluster, rules, sampling, som, stats, vote
+from labelsift.plans import analytics
 from labelsift.sources import files
 from labelsift.plans import profiles
 
@@ -82,6 +83,27 @@ def test_som_plans_match_numpy(spark):
     assert batch.quantization_error(data) < 0.3
 
 
+def test_registered_maps_take_all_rows_and_values(spark, monkeypatch):
+    x = np.random.RandomState(0).rand(2100, 64)
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, v array<double>")
+    monkeypatch.setattr(analytics, "vectors", lambda *_: rows)
+    seen, train = [], som.Som.train
+    monkeypatch.setattr(som.Som, "train", lambda self, data, steps, shuffled=False: (seen.append((data.copy(), steps)), train(self, data, steps, shuffled))[1])
+    m, _ = analytics.small_map(spark, "")
+    assert m.n_features == 64 and np.allclose(seen[0][0], x) and seen[0][1] == 10 * len(x)
+    want = np.sqrt(((x[:, None] - m.weights.reshape(-1, 64)) ** 2).sum(-1)).min(1).mean()
+    assert som.map_quality(rows, "vec_id", "v", m.frame(spark)).first().quantization_error == pytest.approx(want)
+    monkeypatch.setattr(analytics, "TRAIN_ROWS", 100)
+    batch, counted = som.train_batch, []
+    monkeypatch.setattr(som, "train_batch", lambda df, *a: (counted.append(df.count()), batch(df, a[0], a[1], 1))[1])
+    assert analytics.small_map(spark, "")[0].n_features == 64 and counted == [2100]
+    monkeypatch.setattr(analytics, "TRAIN_ROWS", 5000)
+    monkeypatch.setattr(cluster, "LINKAGE_ROWS", 90)
+    got = analytics.QUERIES["ml_linkage"][0](spark, "")
+    sizes = {(r.points, r.linkage): r["count"] for r in got.groupBy("points", "linkage").count().collect()}
+    assert len(sizes) == 8 and all(n == 35 if p == "prototypes" else 80 <= n < 90 for (p, _), n in sizes.items())
+
+
 @pytest.mark.parametrize("method", ["single", "complete", "average", "centroid"])
 def test_linkage_against_brute_force(method):
     x = np.random.RandomState(2).rand(12, 2)
