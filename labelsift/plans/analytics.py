@@ -334,6 +334,11 @@ def _(s, d):
     return cluster.silhouette(vectors(s, d), "vec_id", "v", "label", 300, (0,)).select(F.round("silhouette", 6).alias("silhouette"))
 
 
+@query("ml_silhouette_all")
+def _(s, d):
+    return cluster.silhouette(vectors(s, d), "vec_id", "v", "label")
+
+
 @query("ml_profile", "SELECT c_nationkey, count(*) AS n, round(median(c_acctbal), 4) AS median_c_acctbal, round(100 * avg((c_acctbal < 0)::INT), 6) AS owing_pct, round(100.0 * count(*) / (SELECT count(*) FROM customer), 6) AS share_pct FROM customer GROUP BY 1")
 def _(s, d):
     t = table(s, d, "customer").withColumn("owing", flag(c("c_acctbal") < 0)).withColumn("label", lit(1)).withColumn("trusted", lit(True))

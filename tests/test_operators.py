@@ -83,6 +83,19 @@ def test_som_plans_match_numpy(spark):
     assert batch.quantization_error(data) < 0.3
 
 
+def test_silhouette_all_takes_every_row(spark, monkeypatch):
+    x, label = np.random.RandomState(1).rand(360, 3), np.arange(360) % 3
+    rows = spark.createDataFrame([(i, int(label[i]), v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, v array<double>")
+    monkeypatch.setattr(analytics, "vectors", lambda *_: rows)
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    widths = []
+    for i in range(360):
+        mean = [gaps[i, (label == k) & (np.arange(360) != i)].mean() for k in range(3)]
+        a, b = mean[label[i]], min(mean[k] for k in range(3) if k != label[i])
+        widths.append((b - a) / max(a, b))
+    assert analytics.QUERIES["ml_silhouette_all"][0](spark, "").first().silhouette == pytest.approx(np.mean(widths))
+
+
 def test_registered_maps_take_all_rows_and_values(spark, monkeypatch):
     x = np.random.RandomState(0).rand(2100, 64)
     rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, v array<double>")
