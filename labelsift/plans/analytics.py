@@ -436,6 +436,12 @@ def _(s, d):
     return table(s, d, "conversations").select(F.explode(classify.grams(words)).alias("term")).groupBy("term").agg(F.count(lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(200)
 
 
+@query("tx_bigrams_all", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[0-9a-z_]{2,}') AS w FROM conversations), g AS (SELECT conv_id, turn, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w) SELECT term, count(*) AS n FROM g GROUP BY 1")
+def _(s, d):
+    words = F.regexp_extract_all(F.lower("text"), lit("[0-9a-z_]{2,}"), lit(0))
+    return table(s, d, "conversations").select(F.explode(classify.grams(words)).alias("term")).groupBy("term").agg(F.count(lit(1)).alias("n"))
+
+
 def profile_vectors(s, d) -> DataFrame:
     rows = table(s, d, "documents").select("doc_id", "text", F.log1p("n_chars").alias("size"), text.count_of(c("text"), r"[.,]").cast("double").alias("stops"), text.count_of(c("text"), "[A-Z]").cast("double").alias("capitals"), text.count_of(c("text"), "[0-9@$%&#*]").cast("double").alias("signs"))
     rows = rows.withColumns({x: F.log1p(x) for x in ("stops", "capitals", "signs")})

@@ -29,6 +29,16 @@ def normal(rows, names, order):
     return sorted(tuple(one(r[names.index(c)]) for c in order) for r in rows)
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name,limited,source", [("so_multi_key_all", "so_multi_key", "orders"), ("so_by_expression_all", "so_by_expression", "customer"), ("tx_bigrams_all", None, None)])
+def test_all_rows_in_order(spark, con, name, limited, source):
+    got = [tuple(r) for r in QUERIES[name][0](spark, str(DATA)).collect()]
+    if limited:
+        assert got == con.execute(QUERIES[name][1]).fetchall() and len(got) == con.execute(f"SELECT count(*) FROM {source}").fetchone()[0]
+    else:
+        assert len(got) > 200
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
 def test_matches_sql(spark, con, name):
