@@ -430,6 +430,15 @@ def _(s, d):
     return classify.tfidf(table(s, d, "documents"), "doc_id", words, 3, 100).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query(
+    "ml_tfidf_all",
+    f"WITH t AS (SELECT doc_id, term, count(*) AS tf FROM ({TOKENS}) GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM t GROUP BY 1 HAVING count(*) >= 3 ORDER BY cf DESC, term LIMIT 5000), w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM t JOIN v USING (term)) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w",
+)
+def _(s, d):
+    words = F.regexp_extract_all(F.lower("text"), lit("[0-9a-z_]{2,}"), lit(0))
+    return classify.tfidf(table(s, d, "documents"), "doc_id", words).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query("tx_bigrams", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[0-9a-z_]{2,}') AS w FROM conversations), g AS (SELECT conv_id, turn, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w) SELECT term, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, term LIMIT 200")
 def _(s, d):
     words = F.regexp_extract_all(F.lower("text"), lit("[0-9a-z_]{2,}"), lit(0))
@@ -466,7 +475,7 @@ def _(s, d):
 def _(s, d):
     rows = profile_vectors(s, d)
     words = F.slice(classify.tokens(c("text")), 1, 1 << 30)
-    with_terms, _ = classify.vectors(classify.tfidf(rows, "doc_id", words, 3, 500), "doc_id", rows)
+    with_terms, _ = classify.vectors(classify.tfidf(rows, "doc_id", words), "doc_id", rows)
     return classify.probability(classify.naive_bayes(with_terms, "quality"), with_terms, "p").select("doc_id", "quality", "p")
 
 

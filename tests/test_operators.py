@@ -83,6 +83,14 @@ def test_som_plans_match_numpy(spark):
     assert batch.quantization_error(data) < 0.3
 
 
+def test_naive_bayes_takes_the_whole_vocabulary(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, " ".join(f"t{k:04d}x" for k in range(600)), i % 2) for i in range(6)], "doc_id long, text string, quality int")
+    monkeypatch.setattr(analytics, "profile_vectors", lambda *_: rows)
+    seen, vectors = [], classify.vectors
+    monkeypatch.setattr(classify, "vectors", lambda *a: (seen.append(vectors(*a)), seen[-1])[1])
+    assert analytics.QUERIES["ml_nb"][0](spark, "").count() == 6 and len(seen[0][1]) == 600
+
+
 def test_silhouette_all_takes_every_row(spark, monkeypatch):
     x, label = np.random.RandomState(1).rand(360, 3), np.arange(360) % 3
     rows = spark.createDataFrame([(i, int(label[i]), v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, v array<double>")
