@@ -3,7 +3,8 @@
 Masks of SPAN tokens, WEIGHT of which count, are slid over documents and benchmark items; a window's hash under a mask ignores the
 other positions, so it survives substitutions there. Documents look their hashes up in the items' table; each hit fixes a diagonal,
 and along the diagonals that were hit the stretch of best score (match 1, mismatch -MISMATCH) is verified token by token. A document is
-contaminated by an item if a stretch matches LEAST tokens, or SHARE of all of a shorter item's.
+contaminated by an item if a stretch matches LEAST tokens, or SHARE of all of a shorter item's. Items of under SPAN tokens have no seeds:
+all their tokens must match exactly.
 
 The table of the items is sent to the tasks in blocks of bounded size; the documents are scanned once a block and never shuffled.
 """
