@@ -15,6 +15,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Narrow rows that one task writes, where their number is known to be small.
+ROWS_A_FILE = 100_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -39,10 +42,13 @@ def words(col: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one if all runs in this process (tests);
+    on a cluster, where executors would each write to their own disk, an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"{tempfile.gettempdir()}/labelsift-shared"
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(folder)
@@ -59,7 +65,7 @@ def _drop_all() -> None:
         try:
             _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
+            continue
 
 
 @contextmanager
@@ -74,24 +80,32 @@ def arrow_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing. ``by``: a column of few
-    values whose rows are stored apart, so that a filter on it reads no others.
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing. ``rows``: a known bound of its
+    rows, if they are narrow; few of them go to few files.
 
-    The tables are removed when the driver's Python ends.
+    The tables are removed by scratch() or discard(), or else when the driver's Python ends.
     """
     spark = df.sparkSession
     if not _written:
         atexit.register(_drop_all)
     path = f"{shared_folder(spark).rstrip('/')}/labelsift-{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    if rows is not None and rows < ROWS_A_FILE * df.sparkSession.sparkContext.defaultParallelism:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+    df.write.parquet(path)
     _written.append((spark, path))
-    # without the schema, an empty table couldn't be read, and values in folder names would come back as text
+    # without the schema, an empty table couldn't be read
     back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     back._stored_at = path
     return back
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that materialize() gave, which nothing reads any more."""
+    _remove(df.sparkSession, df._stored_at)
+    _written.remove(next(w for w in _written if w[1] == df._stored_at))
+
+
 @contextmanager
 def scratch():
     """Tables materialized inside are removed at the end, except those appended to the list that is given.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from labelsift.llm.common import materialize
+from labelsift.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     written to shared storage. Self-loops and repeated edges do no harm.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = materialize(now, name), None
+    now, before, n = materialize(now, name), None, None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -22,11 +22,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(lowest, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, name)
+        # a round has no more edges than the one before
+        last, now = now, materialize(small, name, n)
+        discard(last)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
-        before = state
+        before, n = state, state.n
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
