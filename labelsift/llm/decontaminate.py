@@ -3,19 +3,23 @@
 Masks of SPAN tokens, WEIGHT of which count, are slid over documents and benchmark items; a window's hash under a mask ignores the
 other positions, so it survives substitutions there. Documents look their hashes up in the items' table; each hit fixes a diagonal,
 and along the diagonals that were hit the stretch of best score (match 1, mismatch -MISMATCH) is verified token by token. A document is
-contaminated by an item if a stretch matches LEAST tokens, or SHARE of all of a shorter item's. Items of under SPAN tokens have no seeds:
-all their tokens must match exactly.
+contaminated by an item if a stretch matches LEAST tokens, or SHARE of all of a shorter item's.
+
+Items so short that SHARE of them is less than LEAST may miss one or two tokens, anywhere and at the ends of a document too. They are cut into one
+block more than that: one of them is there whole, and its hash is a seed as well. So no such item is missed, in documents of any length.
 
 The table of the items is sent to the tasks in blocks of bounded size; the documents are scanned once a block and never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from labelsift.llm.common import table
 
@@ -31,6 +35,9 @@ BLOCK_TOKENS = 200_000
 SLOTS = 1 << 20
 KEPT = 400_000
 
+#: Items under so many tokens also have block seeds.
+SHORT = math.ceil(LEAST / SHARE)
+
 _CLEAN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -79,54 +86,73 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def block_edges(n: int) -> list[tuple[int, int]]:
+    """The blocks of an item of n tokens, one more than it may miss tokens."""
+    parts = n - math.ceil(SHARE * n - 1e-9) + 1
+    return [(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
+
+
+class Seeds:
+    """Sorted hashes, and of each the item and place that it comes from."""
+
+    def __init__(self, found: list[tuple[np.ndarray, int, np.ndarray]]):
+        keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _, _ in found]])
+        where = np.concatenate([np.zeros((0, 2), np.int64), *[np.stack([np.full(len(k), item), at], 1) for k, item, at in found]])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.where = keys[order], where[order]
+        self.slots = np.zeros(SLOTS, bool)
+        self.slots[(keys % np.uint64(SLOTS)).astype(np.int64)] = True
+
+    def diagonals(self, hashes: np.ndarray) -> np.ndarray:
+        """(item, shift) of each hit of a document's hashes, one hash a place."""
+        at = np.flatnonzero(self.slots[(hashes % np.uint64(SLOTS)).astype(np.int64)])
+        low, high = np.searchsorted(self.keys, hashes[at], "left"), np.searchsorted(self.keys, hashes[at], "right")
+        times = high - low
+        rows = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        hits = self.where[rows]
+        return np.stack([hits[:, 0], np.repeat(at, times) - hits[:, 1]], 1)
+
+
 class Index:
-    """Seeds of a block of items. Items shorter than SPAN have one seed: all their tokens in order."""
+    """Seeds of a block of items: under each mask, and under each width of the blocks of short items."""
 
     def __init__(self, items: list[tuple[object, np.ndarray]]):
         self.ids = [i for i, _ in items]
         self.tokens = [t for _, t in items]
-        keys, where = [], []
-        self.short: dict[int, dict[int, list[int]]] = {}
+        masked: list[list[tuple]] = [[] for _ in MASKS]
+        blocks: dict[int, list[tuple]] = {}
         for k, t in enumerate(self.tokens):
             if SPAN <= len(t):
                 for m in range(len(MASKS)):
                     s = seeds(t, m)
-                    keys.append(s)
-                    where.append(np.stack([np.full(len(s), k), np.arange(len(s))], 1))
-            elif len(t):
-                self.short.setdefault(len(t), {}).setdefault(int(chain(t, len(t))[0]), []).append(k)
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.where = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.where = self.keys[order], self.where[order]
-        self.slots = np.zeros(SLOTS, bool)
-        self.slots[(self.keys % np.uint64(SLOTS)).astype(np.int64)] = True
+                    masked[m].append((s, k, np.arange(len(s))))
+            if 0 < len(t) < SHORT:
+                for a, b in block_edges(len(t)):
+                    blocks.setdefault(b - a, []).append((chain(t[a:b], b - a), k, np.array([a])))
+        self.masked = [Seeds(x) for x in masked]
+        self.blocks = {width: Seeds(x) for width, x in blocks.items()}
 
     def matches(self, tokens: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """item number: (matched tokens, first and end token in the document) of its best verified stretch."""
-        diagonals: set[tuple[int, int]] = set()
-        for m in range(len(MASKS)):
-            s = seeds(tokens, m)
-            at = np.flatnonzero(self.slots[(s % np.uint64(SLOTS)).astype(np.int64)]) if len(self.keys) else ()
-            if len(at):
-                low, high = np.searchsorted(self.keys, s[at], "left"), np.searchsorted(self.keys, s[at], "right")
-                for i, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                    diagonals.update((int(k), i - int(j)) for k, j in self.where[a:b])
+        hits = [s.diagonals(seeds(tokens, m)) for m, s in enumerate(self.masked)]
+        hits += [s.diagonals(chain(tokens, width)) for width, s in self.blocks.items()]
         found: dict[int, tuple[int, int, int]] = {}
-        for k, shift in sorted(diagonals):
-            item = self.tokens[k]
-            low, high = max(0, shift), min(len(tokens), shift + len(item))
-            start, end, matched = best_stretch(tokens[low:high] == item[low - shift : high - shift])
-            if matched >= min(LEAST, SHARE * len(item)) and matched > found.get(k, (0,))[0]:
-                found[k] = (matched, low + start, low + end)
-        for n, table_ in self.short.items():
-            for i, h in enumerate(chain(tokens, n).tolist()):
-                for k in table_.get(h, ()):
-                    if k not in found and (tokens[i : i + n] == self.tokens[k]).all():
-                        found[k] = (n, i, i + n)
+        for k, shift in np.unique(np.concatenate(hits), axis=0).tolist():
+            verified = verify(tokens, self.tokens[k], shift)
+            if verified and verified[0] > found.get(k, (0,))[0]:
+                found[k] = verified
         return found
 
 
+def verify(tokens: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """(matched tokens, first and end token in the document) of the best stretch on a diagonal, if it contaminates."""
+    low, high = max(0, shift), min(len(tokens), shift + len(item))
+    if high <= low:
+        return None
+    start, end, matched = best_stretch(tokens[low:high] == item[low - shift : high - shift])
+    return (matched, low + start, low + end) if matched >= min(LEAST, SHARE * len(item)) else None
+
+
 def chain(tokens: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n tokens."""
     count = len(tokens) - n + 1
@@ -156,12 +182,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, matched, item_tokens, first_token, end_token): one row per document and item that contaminates it.
 
     Token numbers count the document's normalised words; the stretch is the best one. Null and empty texts and items
-    match nothing; repeated rows each get their rows; other columns are ignored; empty tables give no rows.
+    match nothing; ids may be null; repeated rows each get their rows; other columns are ignored; empty tables give no rows.
     """
     context = docs.sparkSession.sparkContext
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, item {item_kind}, matched long, item_tokens long, first_token long, end_token long"
+    kinds = [to_arrow_type(t) for t in (docs.schema[id_col].dataType, benchmark.schema[item_col].dataType)] + [pa.int64()] * 4
     out = None
     for index in blocks(benchmark, item_col, item_text, block_tokens):
         shared = context.broadcast(index)
@@ -172,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 ids = batch.column(0).to_pylist()
                 got = [(ids[j], known.ids[k], m, len(known.tokens[k]), a, b) for j, t in enumerate(batch.column(1)) for k, (m, a, b) in known.matches(hasher(t.as_py())).items()]
                 if got:
-                    yield pa.RecordBatch.from_pandas(_frame(got), preserve_index=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), kinds, strict=True)], ["id", "item", "matched", "item_tokens", "first_token", "end_token"])
 
         part = rows.mapInArrow(scan, schema)
         out = part if out is None else out.union(part)
@@ -181,11 +208,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "item_tokens", "first_token", "end_token")
 
 
-def _frame(rows: list[tuple]):
-    import pandas as pd
-
-    return pd.DataFrame(rows, columns=["id", "item", "matched", "item_tokens", "first_token", "end_token"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -18,21 +18,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelsift.llm.common import table
 
-#: Only a default, so that tests and examples run; deployments pass a secret of their own.
+#: For tests and the registered query only; deployments pass a secret of their own.
 KEY = "replace this key"
 ROUNDS = 8
 
 #: Patterns in order of precedence. Java syntax; Unicode letters count in addresses' names.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|AIza[0-9A-Za-z_-]{35}|sk-[0-9A-Za-z_-]{20,200}|xox[abprs]-[0-9A-Za-z-]{10,200})(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{32,128}(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}:(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
+    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]\d(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\d.,+-])0\d(?:[ .-]\d{2}){4}(?![\d]|[ .-]\d)",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)",
 }
+#: What issuers' access tokens begin with; it stays.
+TOKEN_PREFIX = "^((?:AKIA|ASIA|gh[pousr]_|AIza|sk-|xox[abprs]-))"
 FIRST_YEAR, LAST_YEAR = 1900, 2099
 #: Days of these years, as a product of two numbers.
 DAYS = (17, 4297)
@@ -123,6 +127,11 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(text: Column, key: str) -> Column:
+    """Groups stay as they are written; letters stay, digits move, the check digits are made anew."""
+    return _let(F.replace(text, F.lit(" "), F.lit("")), lambda t: _let(_compact_iban(t, key), lambda fresh: _refill(text, _only_digits(fresh))))
+
+
+def _compact_iban(text: Column, key: str) -> Column:
     country, body = F.substring(text, 1, 2), F.substring(text, F.lit(5), F.length(text) - 4)
     valid = _mod97(F.concat(body, F.substring(text, 1, 4))) == 1
     digits = _only_digits(body)
@@ -140,23 +149,50 @@ def _ip(text: Column, key: str) -> Column:
     return _let(F.split(text, "\\."), of)
 
 
+def _ipv6(text: Column, key: str) -> Column:
+    """Each digit becomes a digit, each letter a letter; of addresses with a digit and three groups, so that no word with colons is taken."""
+    groups = F.size(F.filter(F.split(text, ":"), lambda g: g != ""))
+    return F.when((groups >= 3) & text.rlike("[0-9]"), permute_letters(text, key, "ipv6", True))
+
+
+def _token(text: Column, key: str) -> Column:
+    prefix = F.regexp_extract(text, TOKEN_PREFIX, 1)
+    return F.when(text.rlike("[0-9]"), F.concat(prefix, permute_letters(F.substring(text, F.length(prefix) + 1, F.length(text)), key, "token")))
+
+
+def _moved_day(day: Column, key: str) -> Column:
+    out = permute(F.floor(day / DAYS[1]), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
+    return _let(out, lambda o: (o["l"] * DAYS[1] + o["r"]).cast("int"))
+
+
 def _date(text: Column, key: str) -> Column:
-    form = F.when(text.rlike("^\\d{4}-"), "yyyy-MM-dd").when(text.rlike("^\\d{4}/"), "yyyy/MM/dd").when(text.rlike("\\."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
-    iso = F.when(text.rlike("^\\d{4}"), F.regexp_replace(text, "/", "-")).when(text.rlike("\\."), F.regexp_replace(text, "(\\d{2}).(\\d{2}).(\\d{4})", "$3-$2-$1")).otherwise(
-        F.regexp_replace(text, "(\\d{2}).(\\d{2}).(\\d{4})", "$3-$1-$2")
-    )
+    """Dates of four written forms; the form stays. Between strokes the month comes first if that is a date, else the day: of such days, after
+    the 12th, the permutation is applied until it gives another of these, so they are permuted among themselves."""
+    year_first, dots = text.rlike("^\\d{4}"), text.rlike("\\.")
     start = F.lit(f"{FIRST_YEAR}-01-01").cast("date")
 
-    def of(day: Column) -> Column:
-        out = permute(F.floor(day / DAYS[1]), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
-        fresh = _let(out, lambda o: F.date_add(start, (o["l"] * DAYS[1] + o["r"]).cast("int")))
-        # formats by hand: date_format wants a constant pattern
-        return _let(
-            fresh,
-            lambda d: F.when(form == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(form == "yyyy/MM/dd", F.date_format(d, "yyyy/MM/dd")).when(form == "dd.MM.yyyy", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")),
-        )
+    def number(iso: Column) -> Column:
+        day = F.datediff(iso.try_cast("date"), start)
+        return F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), day)
+
+    def turned(order: str) -> Column:
+        return F.regexp_replace(text, "(\\d{2}).(\\d{2}).(\\d{4})", order)
 
-    return _let(F.datediff(iso.try_cast("date"), start), lambda day: F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), of(day)))
+    def late(day: Column) -> Column:
+        return F.dayofmonth(F.date_add(start, day)) > 12
+
+    def walked(day: Column) -> Column:
+        # two in five dates are on a 12th or before: 100 steps always suffice
+        return F.aggregate(F.sequence(F.lit(1), F.lit(100)), _moved_day(day, key), lambda s, _: F.when(late(s), s).otherwise(_moved_day(s, key)))
+
+    plain = number(F.when(year_first, F.regexp_replace(text, "/", "-")).when(dots, turned("$3-$2-$1")).otherwise(turned("$3-$1-$2")))
+    # formats by hand: date_format wants a constant pattern
+    written = _let(
+        F.date_add(start, _moved_day(plain, key)),
+        lambda d: F.when(text.rlike("^\\d{4}-"), F.date_format(d, "yyyy-MM-dd")).when(year_first, F.date_format(d, "yyyy/MM/dd")).when(dots, F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")),
+    )
+    day_first = F.when(~year_first & ~dots, number(turned("$3-$2-$1")))
+    return F.when(plain.isNotNull(), written).when(day_first.isNotNull(), F.date_format(F.date_add(start, walked(day_first)), "dd/MM/yyyy"))
 
 
 def _ssn(text: Column, key: str) -> Column:
@@ -222,7 +258,7 @@ def pseudonym(text: Column, key: str = KEY) -> Column:
     def whole(kind: str) -> Column:
         return text.rlike("^(?:" + PATTERNS[kind] + ")$")
 
-    tries = [("email", _email), ("iban", _iban), ("secret", lambda t, k: permute_letters(t, k, "secret", True)), ("ip", _ip), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("card", _card)]
+    tries = [("email", _email), ("iban", _iban), ("token", _token), ("secret", lambda t, k: permute_letters(t, k, "secret", True)), ("ip", _ip), ("ipv6", _ipv6), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("card", _card)]
     found = None
     for kind, make in tries:
         value = F.when(whole(kind), make(text, key))
@@ -231,30 +267,32 @@ def pseudonym(text: Column, key: str = KEY) -> Column:
     return F.coalesce(found, F.struct(F.lit(None).cast("string").alias("kind"), text.alias("text")))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns and rows of ``docs``, the text with its personal data replaced, and two columns more: n_replaced and kinds, the distinct
-    kinds in order. Columns of these names are replaced.
+    kinds in order. Columns of these names are replaced; others come back unchanged, whatever their names.
 
     A null text stays null, with no replacements; texts without a match stay as they are, byte for byte. Overlapping
-    candidates go to the leftmost, then by the order of PATTERNS. Repeated rows are treated alike; an empty table gives no rows.
+    candidates go to the leftmost, then by the order of PATTERNS. Repeated rows are treated alike; an empty table gives no rows. A mail's domain
+    stays, and a name of one letter can't move.
     """
     union = "|".join(f"(?:{p})" for p in PATTERNS.values())
     base = docs.drop("n_replaced", "kinds")
-    text = F.col(text_col)
+    packed = base.select(F.struct("*").alias("row"))
+    text = F.col("row")[text_col]
     # every pattern needs a digit or an at sign
     matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(union), F.lit(0)))
-    cut = base.withColumn("_new", F.transform(matches, lambda m: pseudonym(m, key)))
-    some = F.coalesce(F.size(F.filter("_new", lambda x: x["kind"].isNotNull())), F.lit(0)) > 0
+    cut = packed.withColumn("new", F.transform(matches, lambda m: pseudonym(m, key)))
+    some = F.coalesce(F.size(F.filter("new", lambda x: x["kind"].isNotNull())), F.lit(0)) > 0
     gaps = F.split(text, union, -1)
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["text"], F.lit(""))))
-    kinds = F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull())
+    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("new"), i)["text"], F.lit(""))))
+    kinds = F.filter(F.transform("new", lambda x: x["kind"]), lambda k: k.isNotNull())
     return cut.select(
-        *[F.when(some, F.array_join(pieces, "")).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in base.columns],
+        *[(F.when(some, F.array_join(pieces, "")).otherwise(text) if c == text_col else F.col("row")[c]).alias(c) for c in base.columns],
         F.when(some, F.size(kinds)).otherwise(0).alias("n_replaced"),
         F.when(some, F.array_sort(F.array_distinct(kinds))).otherwise(F.array().cast("array<string>")).alias("kinds"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
     return found.select("doc_id", "n_replaced", F.array_join("kinds", ",").alias("kinds"), "text")

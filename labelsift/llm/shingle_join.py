@@ -6,7 +6,7 @@ under the others. The orders put frequent shingles last (by a sketch of fixed si
 differ in how they break ties, so that they agree by chance only rarely. Lengths and parity bitmaps
 (popcount of the XOR is at most the symmetric difference) are checked in the join.
 
-Sets, not documents, are joined: copies are one node. A key that holds more than GROUP nodes isn't
+Sets, not documents, are joined: copies are one node. Keys that hold the same nodes are one key. A key that holds more than GROUP nodes isn't
 paired off. It is split by size first, each node going to its own range of sizes and the next, as sizes of linked sets differ little. In
 what still is too large, all are compared with one hub, and keys with one hub become one group. Nodes linked to the hub are connected already; others
 meet the group's nodes, by sizes and 128-bit bitmaps up to MIDDLE of them and else as bitmaps of one to two bits a shingle, in numpy, BLOCK of
@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelsift.llm.common import arrow_batches, materialize, scratch, table
 from labelsift.llm.graph import components, spread_lookup
 
-#: Nodes of a key up to which they are compared pair by pair, by sizes and bitmaps first.
-GROUP = 64
+#: Nodes of a key up to which they are compared pair by pair, by sizes and bitmaps first. Pairs carry their sets: beyond, a hub needs fewer.
+GROUP = 8
 #: Counters of the frequency sketch; its size doesn't grow with the data.
 COUNTERS = 1 << 22
 SLICE = 1 << 16
@@ -408,9 +408,12 @@ def links(sets: DataFrame, num: int, den: int, group: int = GROUP, middle: int =
     """(a, b): links between different nodes that connect all nodes that similar sets connect."""
     facts = sets.select("node", "n", "bits_a", "bits_b").distinct()
     rows = prefix_rows(sets)
-    shared = rows.groupBy("key").count().where("count > 1").select("key")
-    active = materialize(rows.join(shared, "key"), "shared")
-    degree = active.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    # keys that hold the same nodes, as most keys of a group of copies do, are one key
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("nodes > 1")
+    active = rows.join(held, "key").groupBy(F.xxhash64("nodes", "mark").alias("key"), "node").agg(F.count(F.lit(1)).alias("times"))
+    active = materialize(active, "shared")
+    degree = active.groupBy("node").agg(F.sum("times").alias("degree"))
+    active = active.drop("times")
     active = materialize(_with_size(active.join(degree, "node").join(facts, "node")), "keys")
     first = _pairs(active.where(F.col("size") <= group), num, den)
     # sizes n and m of linked sets have m >= t n: they lie in one range of the logarithm to base 1/t, or in neighbouring ones

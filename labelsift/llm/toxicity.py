@@ -273,13 +273,18 @@ def fit_chars(docs: DataFrame, text_col: str = "text") -> CharModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, selected: int = SELECTED) -> Model:
-    """Fit on documents that ``labels`` marks 0 or 1, ``sample`` ids at most, in order of a hash of the id."""
+    """Fit on documents that ``labels`` marks 0 or 1, ``sample`` ids at most, in order of a hash of the id.
+
+    Labels of a null id or other values are left out; of contradicting labels, 1 counts. Of a document that occurs repeatedly, every row
+    counts. Null and empty texts have no features. Other columns are ignored, whatever their names. Without a toxic document the model calls nothing toxic.
+    """
     spark = docs.sparkSession
     chars = fit_chars(docs, text_col)
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    chosen = marks.select(F.col(id_col).alias("_k"), "_y").orderBy(F.xxhash64("_k", F.lit("toxicity sample")), "_k").limit(sample)
+    marks = labels.select(F.col(id_col).alias("_k"), F.col(label_col).alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isin(0, 1))
+    chosen = marks.groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k", F.lit("toxicity sample")), "_k").limit(sample)
     # bounded by ``sample``, hence small enough to send to every task
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).select("_k", F.col("_y").cast("int").alias("_y"), F.col(text_col).alias("_t"))
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    rows = own.join(F.broadcast(chosen), F.col("_id") == F.col("_k")).select("_k", F.col("_y").cast("int").alias("_y"), "_t")
     shared = spark.sparkContext.broadcast(chars)
 
     def tally(batches):
