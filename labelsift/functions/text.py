@@ -6,7 +6,6 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import PandasUDFType
 
 #: What counts as a link, a bare scheme, a mention, a hashtag and a corrupted run. (?U) makes classes
 #: Unicode-aware; the corrupted run is possessive so that long runs can't exhaust the stack.
@@ -34,9 +33,10 @@ def _unescape_batch(texts: pd.Series) -> pd.Series:
 
 
 def unescape(text: Column) -> Column:
-    """HTML entities replaced until nothing changes, five rounds at most. Only rows that hold "&" leave the JVM's own expressions."""
-    batch = F.pandas_udf(_unescape_batch, "string", PandasUDFType.SCALAR)
-    return F.when(F.contains(text, F.lit("&")), batch(text)).otherwise(text)
+    """HTML entities replaced until nothing changes, five rounds at most. Of rows without "&", only a null goes to Python."""
+    batch = F.pandas_udf(_unescape_batch, "string")
+    marked = F.contains(text, F.lit("&"))
+    return F.when(marked, batch(F.when(marked, text))).otherwise(text)
 
 
 def clean(text: Column, entities: bool = True) -> Column:

@@ -68,8 +68,11 @@ def logistic(train: DataFrame, label: str, features: str = "features", c: float
     """L2 logistic regression with penalty 1 / C on the sum of losses; coefficients aren't rescaled."""
     ready = balanced(train, label) if balance else train.withColumn("_weight", F.lit(1.0))
     ready = ready.cache()
-    total = ready.agg(F.sum("_weight")).first()[0]
-    return LogisticRegression(featuresCol=features, labelCol=label, weightCol="_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-8).fit(ready)
+    try:
+        total = ready.agg(F.sum("_weight")).first()[0]
+        return LogisticRegression(featuresCol=features, labelCol=label, weightCol="_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-8).fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def probability(model, df: DataFrame, name: str) -> DataFrame:
@@ -88,7 +91,7 @@ class CalibratedSvm:
 
     def __init__(self, train: DataFrame, label: str, key: str, features: str = "features", c: float = 0.1, folds: int = 3, seed: int = 42):
         self.features, self.parts = features, []
-        ready = sampling.folds(balanced(train, label), key, folds, seed, [label]).coalesce(8).cache()
+        ready = sampling.folds(balanced(train, label), key, folds, seed, [label]).cache()
         for k in range(folds):
             own = ready.where(F.col("fold") != k)
             total = own.agg(F.sum("_weight")).first()[0]
@@ -115,7 +118,7 @@ class CalibratedSvm:
 
 def out_of_fold(df: DataFrame, key: str, label: str, trusted: Column, models: dict[str, Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]]], k: int = 5, seed: int = 42) -> DataFrame:
     """``df`` with p_<model>: each row is scored by models that saw no row of its fold; only trusted rows are learned from."""
-    rows = sampling.folds(df, key, k, seed, [label]).coalesce(8).cache()
+    rows = sampling.folds(df, key, k, seed, [label]).cache()
     out = None
     for f in range(k):
         train, scored = rows.where((F.col("fold") != f) & trusted), rows.where(F.col("fold") == f)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelsift.functions.numeric import flag
@@ -56,6 +59,11 @@ def conflicts(df: DataFrame, key: str, value: str) -> DataFrame:
 def leave_one_out(df: DataFrame, group: str | list[str], condition: Column, counted: Column) -> DataFrame:
     """``df`` with others_n and others_hits: rows of the group, this one left out, that are ``counted``, and of these those with
     ``condition``."""
-    over = Window.partitionBy(*([group] if isinstance(group, str) else group))
+    keys = [group] if isinstance(group, str) else group
     n, hit = flag(counted).cast("long"), flag(counted & condition).cast("long")
-    return df.withColumn("others_n", F.sum(n).over(over) - n).withColumn("others_hits", F.sum(hit).over(over) - hit)
+    # a few hot groups hold all rows: sums are made before the shuffle, and come back by a join
+    rows = df.withColumn("_n", n).withColumn("_hit", hit)
+    sums = rows.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_all_n"), F.sum("_hit").alias("_all_hits"))
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    out = rows.join(sums, reduce(and_, same)).withColumn("others_n", F.col("_all_n") - F.col("_n")).withColumn("others_hits", F.col("_all_hits") - F.col("_hit"))
+    return out.drop("_n", "_hit", "_all_n", "_all_hits", *[f"_g{i}" for i in range(len(keys))])

@@ -51,26 +51,48 @@ def chi_square_of(cells: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
     )
 
 
+#: Ranges of scores that running sums are made in.
+SCORE_RANGES = 256
+
+
+def running_sums(per: DataFrame, score: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``per`` (one row a score) with below_<c> and all_<c>: the sums over the scores that come before, and over all.
+
+    Scores are cut into ranges by approximate quantiles; the sums of whole ranges are where a range's own sums begin.
+    """
+    cuts = per.agg(F.percentile_approx(score, [i / SCORE_RANGES for i in range(1, SCORE_RANGES)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    ranged = per.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(score))))
+    every = Window.partitionBy()  # of SCORE_RANGES rows at most
+    order = F.col("_b").desc() if descending else F.col("_b")
+    sums = ranged.groupBy(F.col("_range").alias("_b")).agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    starts = sums.select(
+        "_b",
+        *[F.coalesce(F.sum(f"_s_{c}").over(every.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"_from_{c}") for c in columns],
+        *[F.sum(f"_s_{c}").over(every).alias(f"all_{c}") for c in columns],
+    )
+    own = Window.partitionBy("_range").orderBy(F.col(score).desc() if descending else F.col(score)).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(starts), F.col("_range") == F.col("_b"))
+    return joined.select(*per.columns, *[(F.col(f"_from_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0.0))).alias(f"below_{c}") for c in columns], *[f"all_{c}" for c in columns])
+
+
+def _per_score(df: DataFrame, score: str, label: str) -> DataFrame:
+    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum((F.col(label) == 1).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(auc) by average ranks. Counted per distinct score first, so the one ordered window runs over scores, not rows."""
-    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum((F.col(label) == 1).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = per.withColumn("rank", below + (F.col("n") + 1) / 2)
+    """(auc) by average ranks, counted per distinct score first. Rows of a null score or label are left out."""
+    ranked = running_sums(_per_score(df, score, label), score, ["n"]).withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
     return ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(
         ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc")
     )
 
 
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, descending."""
-    per = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    order = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return per.select(
-        F.col(score).alias("threshold"),
-        (F.sum(F.col("n") - F.col("p")).over(order) / F.sum(F.col("n") - F.col("p")).over(every)).alias("fpr"),
-        (F.sum("p").over(order) / F.sum("p").over(every)).alias("tpr"),
-    )
+    """(threshold, fpr, tpr) at every distinct score. Rows of a null score or label are left out."""
+    per = _per_score(df, score, label).withColumn("f", F.col("n") - F.col("p"))
+    sums = running_sums(per, score, ["f", "p"], descending=True)
+    return sums.select(F.col(score).alias("threshold"), ((F.col("below_f") + F.col("f")) / F.col("all_f")).alias("fpr"), ((F.col("below_p") + F.col("p")) / F.col("all_p")).alias("tpr"))
 
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:

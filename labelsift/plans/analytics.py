@@ -286,29 +286,35 @@ def vectors(s, d) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", "label", c("embedding").cast("array<double>").alias("v"))
 
 
+#: The mean vector of each label.
+CENTRES = "(SELECT label AS vec_id, list(m ORDER BY i) AS embedding FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1)"
+
+
 def seeds(s, d) -> DataFrame:
-    return vectors(s, d).where("vec_id < 10").select(c("vec_id").alias("node"), c("v").alias("w"))
+    """(node, w): the mean vector of each label, a row a label."""
+    means = vectors(s, d).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    return means.groupBy(c("label").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("w"))
 
 
-@query("jn_nearest", "SELECT e.vec_id, arg_min(k.vec_id, list_distance(e.embedding::DOUBLE[], k.embedding::DOUBLE[])) AS node FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 10) k GROUP BY 1")
+@query("jn_nearest", f"SELECT e.vec_id, arg_min(k.vec_id, list_distance(e.embedding::DOUBLE[], k.embedding::DOUBLE[])) AS node FROM embeddings e CROSS JOIN {CENTRES} k GROUP BY 1")
 def _(s, d):
     return som.assign(vectors(s, d), "vec_id", "v", seeds(s, d)).select("vec_id", "node")
 
 
-@query("so_two_nearest", "SELECT vec_id, (rank - 1)::INT AS rank, node FROM (SELECT e.vec_id, k.vec_id AS node, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], k.embedding::DOUBLE[]), k.vec_id) AS rank FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 10) k) WHERE rank <= 2")
+@query("so_two_nearest", f"SELECT vec_id, (rank - 1)::INT AS rank, node FROM (SELECT e.vec_id, k.vec_id AS node, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], k.embedding::DOUBLE[]), k.vec_id) AS rank FROM embeddings e CROSS JOIN {CENTRES} k) WHERE rank <= 2")
 def _(s, d):
     return som.assign(vectors(s, d), "vec_id", "v", seeds(s, d), 2).select("vec_id", "rank", "node")
 
 
-@query("jn_all_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 10")
+@query("jn_all_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding, b.embedding), 6) AS d FROM {CENTRES} a JOIN {CENTRES} b ON a.vec_id < b.vec_id")
 def _(s, d):
-    k = seeds(s, d)  # ten rows, a fixed set of centres
+    k = seeds(s, d)  # a row a label
     return k.toDF("a", "wa").join(k.toDF("b", "wb"), c("a") < c("b")).select("a", "b", F.round(som.euclidean(c("wa"), c("wb")), 6).alias("d"))
 
 
 @query(
     "ml_kmeans_step",
-    "WITH n AS (SELECT e.vec_id, any_value(e.embedding) AS v, arg_min(k.vec_id, list_distance(e.embedding::DOUBLE[], k.embedding::DOUBLE[])) AS node FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 10) k GROUP BY 1) SELECT node, (i - 1)::INT AS dim, round(avg(v[i]::DOUBLE), 6) AS value FROM n, range(1, 65) r(i) GROUP BY 1, 2",
+    f"WITH n AS (SELECT e.vec_id, any_value(e.embedding) AS v, arg_min(k.vec_id, list_distance(e.embedding::DOUBLE[], k.embedding::DOUBLE[])) AS node FROM embeddings e CROSS JOIN {CENTRES} k GROUP BY 1) SELECT node, (i - 1)::INT AS dim, round(avg(v[i]::DOUBLE), 6) AS value FROM n, range(1, 65) r(i) GROUP BY 1, 2",
 )
 def _(s, d):
     return cluster.lloyd_step(vectors(s, d), "vec_id", "v", seeds(s, d)).select("node", "dim", F.round("value", 6).alias("value"))
@@ -328,15 +334,11 @@ def _(s, d):
 
 @query(
     "ml_silhouette",
-    "WITH e AS (SELECT vec_id, label AS c, embedding::DOUBLE[] AS v FROM embeddings ORDER BY md5(vec_id || '|0'), vec_id LIMIT 300), p AS (SELECT a.vec_id, a.c, b.c AS oc, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), w AS (SELECT vec_id, max(d) FILTER (c = oc) AS a, min(d) FILTER (c <> oc) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM w",
+    "WITH e AS (SELECT vec_id, label AS c, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, a.c, b.c AS oc, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), w AS (SELECT vec_id, max(d) FILTER (c = oc) AS a, min(d) FILTER (c <> oc) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM w",
 )
 def _(s, d):
-    return cluster.silhouette(vectors(s, d), "vec_id", "v", "label", 300, (0,)).select(F.round("silhouette", 6).alias("silhouette"))
-
-
-@query("ml_silhouette_all")
-def _(s, d):
-    return cluster.silhouette(vectors(s, d), "vec_id", "v", "label")
+    """Up to 8,000 rows each of the three samples is the whole table, as in the SQL."""
+    return cluster.silhouette(vectors(s, d), "vec_id", "v", "label").select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query("ml_profile", "SELECT c_nationkey, count(*) AS n, round(median(c_acctbal), 4) AS median_c_acctbal, round(100 * avg((c_acctbal < 0)::INT), 6) AS owing_pct, round(100.0 * count(*) / (SELECT count(*) FROM customer), 6) AS share_pct FROM customer GROUP BY 1")
@@ -423,15 +425,6 @@ TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z_]{2,}')
 
 @query(
     "ml_tfidf",
-    f"WITH t AS (SELECT doc_id, term, count(*) AS tf FROM ({TOKENS}) GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM t GROUP BY 1 HAVING count(*) >= 3 ORDER BY cf DESC, term LIMIT 100), w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM t JOIN v USING (term)) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w",
-)
-def _(s, d):
-    words = F.regexp_extract_all(F.lower("text"), lit("[0-9a-z_]{2,}"), lit(0))
-    return classify.tfidf(table(s, d, "documents"), "doc_id", words, 3, 100).select("doc_id", "term", F.round("weight", 6).alias("weight"))
-
-
-@query(
-    "ml_tfidf_all",
     f"WITH t AS (SELECT doc_id, term, count(*) AS tf FROM ({TOKENS}) GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM t GROUP BY 1 HAVING count(*) >= 3 ORDER BY cf DESC, term LIMIT 5000), w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM t JOIN v USING (term)) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w",
 )
 def _(s, d):
@@ -439,13 +432,7 @@ def _(s, d):
     return classify.tfidf(table(s, d, "documents"), "doc_id", words).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("tx_bigrams", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[0-9a-z_]{2,}') AS w FROM conversations), g AS (SELECT conv_id, turn, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w) SELECT term, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, term LIMIT 200")
-def _(s, d):
-    words = F.regexp_extract_all(F.lower("text"), lit("[0-9a-z_]{2,}"), lit(0))
-    return table(s, d, "conversations").select(F.explode(classify.grams(words)).alias("term")).groupBy("term").agg(F.count(lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(200)
-
-
-@query("tx_bigrams_all", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[0-9a-z_]{2,}') AS w FROM conversations), g AS (SELECT conv_id, turn, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w) SELECT term, count(*) AS n FROM g GROUP BY 1")
+@query("tx_bigrams", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[0-9a-z_]{2,}') AS w FROM conversations), g AS (SELECT conv_id, turn, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w) SELECT term, count(*) AS n FROM g GROUP BY 1")
 def _(s, d):
     words = F.regexp_extract_all(F.lower("text"), lit("[0-9a-z_]{2,}"), lit(0))
     return table(s, d, "conversations").select(F.explode(classify.grams(words)).alias("term")).groupBy("term").agg(F.count(lit(1)).alias("n"))

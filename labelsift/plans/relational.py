@@ -373,22 +373,12 @@ def _(s, d):
 # --- sorts, sets, reshapes
 
 
-@query("so_multi_key", f"SELECT o_orderkey, status, price FROM {NULLED} ORDER BY status ASC NULLS FIRST, price DESC NULLS LAST, o_orderkey LIMIT 200")
-def _(s, d):
-    return nulled(table(s, d, "orders")).select("o_orderkey", "status", "price").orderBy(c("status").asc_nulls_first(), c("price").desc_nulls_last(), "o_orderkey").limit(200)
-
-
-@query("so_multi_key_all", f"SELECT o_orderkey, status, price FROM {NULLED} ORDER BY status ASC NULLS FIRST, price DESC NULLS LAST, o_orderkey")
+@query("so_multi_key", f"SELECT o_orderkey, status, price FROM {NULLED} ORDER BY status ASC NULLS FIRST, price DESC NULLS LAST, o_orderkey")
 def _(s, d):
     return nulled(table(s, d, "orders")).select("o_orderkey", "status", "price").orderBy(c("status").asc_nulls_first(), c("price").desc_nulls_last(), "o_orderkey")
 
 
-@query("so_by_expression", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 50")
-def _(s, d):
-    return table(s, d, "customer").orderBy(F.abs("c_acctbal").desc(), "c_custkey").limit(50).select("c_custkey")
-
-
-@query("so_by_expression_all", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey")
+@query("so_by_expression", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey")
 def _(s, d):
     return table(s, d, "customer").orderBy(F.abs("c_acctbal").desc(), "c_custkey").select("c_custkey")
 
