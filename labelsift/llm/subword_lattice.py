@@ -207,21 +207,25 @@ def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def log_gamma(x, log):
+    """Log of the gamma function of x >= 1, a Column or an array, with its ``log``: Stirling's series seven places up, to 13 digits."""
+    y, below = x + 7.0, x
+    for k in range(1, 7):
+        below = below * (x + float(k))
+    return (y - 0.5) * log(y) - y + (0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - log(below)
+
+
 def _rising(log_weight: Column, times: Column) -> Column:
     """Log of weight (weight + 1) ... (weight + times - 1)."""
-    more = F.aggregate(F.sequence(F.lit(1).cast("long"), times - 1), F.lit(0.0), lambda total, k: total + F.log(F.exp(log_weight) + k))
-    return log_weight + F.when(times > 1, more).otherwise(0.0)
+    weight = F.exp(log_weight)
+    return log_weight + F.when(times > 1, log_gamma(weight + times, F.log) - log_gamma(weight + 1.0, F.log)).otherwise(0.0)
 
 
 def log_rising(weights: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Sums over rows of the logs of w (w + 1) ... (w + t - 1), for each column of weights."""
-    out = np.log(weights).sum(0)
-    k, left = 1, np.flatnonzero(times > 1)
-    while left.size:
-        out += np.log(weights[left] + k).sum(0)
-        k += 1
-        left = left[times[left] > k]
-    return out
+    again = times > 1
+    more = weights[again]
+    return np.log(weights).sum(0) + (log_gamma(more + times[again, None], np.log) - log_gamma(more + 1.0, np.log)).sum(0)
 
 
 def classes_of(rows: DataFrame, most: int) -> list:
@@ -230,7 +234,10 @@ def classes_of(rows: DataFrame, most: int) -> list:
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS, frequent: int = FREQUENT, urn: float = URN) -> DataFrame:
-    """One row per row of ``docs``: the id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10).
+    """One row per row of ``docs``: the id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10 all).
+
+    lattice_score is the marginal of the pieces alone: the sum over all segmentations under one set of piece probabilities, without whole-word
+    arcs, urn and classes.
 
     ``held_out`` is a boolean Column; all other rows are learned from. ``class_col`` names the classes of these rows; it isn't read of
     the rows held out, and no row's score looks at its own. Null text is the empty text, of one token
@@ -266,7 +273,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     # the vocabulary bounds everything that is sent here or to the tasks
     pieces = load_pieces(vocabulary)
     start = Lattice(pieces).start(pieces)
-    prior, logp = np.exp(start), np.tile(start, (len(kinds), 1))
+    prior, logp, pooled = np.exp(start), np.tile(start, (len(kinds), 1)), start
     own = [f"c{k}" for k in kinds]
     for _ in range(rounds):
         shared = context.broadcast((hash(vocabulary), pieces, logp))
@@ -288,7 +295,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         for row in uses.collect():
             weights[row.j, row.piece] += row.uses
         logp = np.array([Lattice.fit(w, pieces) for w in weights])
-    shared = context.broadcast((hash(vocabulary), pieces, logp))
+        pooled = Lattice.fit(prior + (weights - prior).sum(0), pieces)
+    shared = context.broadcast((hash(vocabulary), pieces, np.vstack([logp, pooled])))
     p_end = (n_ends + 1) / (train_tokens + 2)
     base_under = math.log10(train_tokens + distinct + 1)
 
@@ -296,11 +304,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         lattice, _, now = _lattice(shared)
         for batch in batches:
             if batch.num_rows:
-                c = np.stack([batch.column(2 + j).to_numpy() for j in range(len(now))], 1)
-                pieces_log = lattice.log_marginal(batch.column(0).to_pylist(), now)
+                c = np.stack([batch.column(2 + j).to_numpy() for j in range(len(now) - 1)], 1)
+                every = lattice.log_marginal(batch.column(0).to_pylist(), now)
+                pieces_log = every[:, :-1]
                 with np.errstate(divide="ignore"):
                     whole = np.log(np.maximum(c - discount, 0) / size)
-                score = np.logaddexp(whole, pieces_log + np.log(spread)) + math.log(urn)
+                score = np.hstack([np.logaddexp(whole, pieces_log + np.log(spread)) + math.log(urn), every[:, -1:]])
                 offsets = pa.array(np.arange(0, score.size + 1, score.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(c.sum(1)), pa.array(np.log10(c.sum(1) + 1.0) - base_under), pa.ListArray.from_arrays(offsets, pa.array(score.ravel()))], ["word", "n", "c", "base", "score"]
@@ -316,7 +325,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         taken, least = taken + steps[b], b
     often = weighed.where(F.floor(F.log2("n") * 4) >= least).select("word", "c", "base", "score").collect() if least is not None else []
     place = {bytes(r.word): j for j, r in enumerate(often)}
-    known_words = context.broadcast((place, np.array([r.c > 0 for r in often], np.int64), np.array([r.base for r in often]), np.exp(np.array([r.score for r in often]).reshape(len(often), len(kinds)))))
+    known_words = context.broadcast((place, np.array([r.c > 0 for r in often], np.int64), np.array([r.base for r in often]), np.exp(np.array([r.score for r in often]).reshape(len(often), len(kinds) + 1))))
     end_base = math.log10(n_ends + 1.0) - base_under
     log_next, log_end, log_urn = math.log1p(-p_end), math.log(p_end), math.lgamma(urn)
     end_known = int(n_ends > 0)
@@ -346,8 +355,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 hit = idx >= 0
                 rare_words = [w for w, j in zip(uses, at, strict=True) if j < 0]
                 idx = idx[hit]
-                score = log_end + len(words) * log_next + log_urn - math.lgamma(urn + len(words)) + log_rising(weights[idx], tf[hit])
-                whole.append((row, ident, held, len(words) + 1, end_known + int(tf[hit] @ is_known[idx]), end_base + float(tf[hit] @ bases[idx]), score.tolist()))
+                ends_here = log_end + len(words) * log_next
+                score = ends_here + log_urn - math.lgamma(urn + len(words)) + log_rising(weights[idx, :-1], tf[hit])
+                alone = ends_here + float(tf[hit] @ np.log(weights[idx, -1]))
+                whole.append((row, ident, held, len(words) + 1, end_known + int(tf[hit] @ is_known[idx]), end_base + float(tf[hit] @ bases[idx]), [*score.tolist(), alone]))
                 part.append(([row] * len(rare_words), rare_words, tf[~hit].tolist()))
                 wide += len(rare_words)
                 if wide > FLUSH:
@@ -372,7 +383,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         parts.where(F.col("word").isNotNull()).select("row", "word", "tf")
         .join(weighed.select("word", "c", F.col("base").alias("wb"), F.col("score").alias("ws")), "word")
         .groupBy("row")
-        .agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("wb")).alias("b"), *[F.sum(_rising(F.col("ws")[j], F.col("tf"))).alias(f"s{j}") for j in range(len(kinds))])
+        .agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("wb")).alias("b"), *[F.sum(_rising(F.col("ws")[j], F.col("tf"))).alias(f"s{j}") for j in range(len(kinds))], F.sum(F.col("tf") * F.col("ws")[len(kinds)]).alias("sl"))
     )
     both = parts.where(F.col("word").isNull()).drop("word", "tf").join(rare_rows, "row", "left")
     shares = [math.log(ends.get(k, 0) / n_ends) if n_ends else 0.0 for k in kinds]
@@ -387,6 +398,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
         (score / _LN10).alias("score"),
+        ((F.col("score")[len(kinds)] + F.coalesce("sl", F.lit(0.0))) / _LN10).alias("lattice_score"),
     )
 
 

@@ -267,6 +267,15 @@ def test_banded_distance(spark):
             assert r.w == near and (r.h or not near)
 
 
+def test_known_probes_are_those_of_marked_keys(spark):
+    index = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    probes = spark.range(1000, 60_000).select(F.xxhash64("id").alias("key"), "id")
+    for bits in (1 << 15, 1 << 17, 1 << 24):
+        marked = {r.p for r in index.select(F.pmod("key", F.lit(bits)).alias("p")).collect()}
+        wanted = sorted(r.id for r in probes.select("id", F.pmod("key", F.lit(bits)).alias("p")).collect() if r.p in marked)
+        assert sorted(r.id for r in edit_join.known_probes(probes, index, bits).collect()) == wanted
+
+
 @pytest.mark.parametrize("group,block", [(24, 2048), (2, 1 << 20), (2, 3)])
 def test_line_dedup(spark, group, block):
     rng = random.Random(group)
