@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelsift.llm import decontaminate, edit_join, mixing, shingle_join, toxicity
-from labelsift.llm.common import materialize, table
+from labelsift.llm.common import discard, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,9 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    """The last stage's rows. Every stage reads what the one before wrote; a stage's input is removed once its output is written."""
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
