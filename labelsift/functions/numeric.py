@@ -62,3 +62,8 @@ def case(*branches: tuple[Column, object], otherwise: object = None) -> Column:
 
 def half_even(x: Column, places: int = 0) -> Column:
     return F.bround(x, places)
+
+
+def threshold_flag(x: Column) -> Column:
+    """1 from 1 on, 0 up to 0; null between and for null."""
+    return F.when(x >= 1, 1).when(x <= 0, 0)

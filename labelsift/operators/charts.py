@@ -57,3 +57,15 @@ def stacked(df: DataFrame, group: str, level: str) -> DataFrame:
     share = F.col("n") / F.sum("n").over(part)
     out = cells.withColumn("share", share)
     return out.withColumn("left", F.coalesce(F.sum("share").over(part.orderBy(level).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select(group, level, "share", "left")
+
+
+def fit_line(df: DataFrame, y: str, x: str, steps: int) -> DataFrame:
+    """(step, x, y): points of the line fitted to all rows, evenly from the least x to the greatest."""
+    one = df.agg(F.regr_slope(y, x).alias("_m"), F.regr_intercept(y, x).alias("_k"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    points = one.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("step") / (steps - 1))
+    return points.select("step", "x", (F.col("_k") + F.col("_m") * F.col("x")).alias("y"))
+
+
+def dendrogram_tail(tree, n: int) -> list[tuple[int, float]]:
+    """(clusters left, height) of the last n merges of a linkage, the last first."""
+    return [(k + 1, float(h)) for k, h in enumerate(tree[::-1][:n, 2])]

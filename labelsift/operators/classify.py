@@ -44,6 +44,14 @@ def tfidf(df: DataFrame, key: str, words: Column, least: int = LEAST_DOCUMENTS,
     return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
+def union_features(df: DataFrame, key: str, numbers: DataFrame, columns: list[str], texts: dict[str, Column]) -> DataFrame:
+    """(key, feature, value): the numeric columns of ``numbers`` and one TF-IDF block a text, under block:term."""
+    out = numbers.select(key, *columns).unpivot([key], columns, "feature", "value")
+    for block, words in texts.items():
+        out = out.unionAll(tfidf(df, key, words).select(key, F.concat(F.lit(f"{block}:"), "term"), "weight"))
+    return out
+
+
 def vectors(weights: DataFrame, key: str, rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """``rows`` with a sparse vector ``features`` and the terms in order; rows without terms get zeros."""
     from pyspark.ml.linalg import SparseVector, VectorUDT

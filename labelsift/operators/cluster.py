@@ -170,3 +170,26 @@ def profile(df: DataFrame, cluster: str, medians: list[str], shares: list[str],
         F.avg(F.when(known & F.col(trusted), F.col(label).cast("double"))).alias("minority_share_trusted"),
     )
     return per.crossJoin(F.broadcast(total)).withColumn("share_pct", 100.0 * F.col("n") / F.col("_n")).drop("_n")
+
+
+def principal(df: DataFrame, vector: str, k: int) -> DataFrame:
+    """(component, variance_share, dimension, loading): of the first k axes of the centred vectors, the dimensions by absolute loading. An axis
+    is turned so that its greatest loading is positive."""
+    spark = df.sparkSession
+    # the covariance is a table of dimensions by dimensions, whatever the rows
+    n = len(df.select(vector).first()[0])
+    x = [F.col(vector)[i] for i in range(n)]
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], F.count(F.lit(1)).alias("n")).first()
+    centred = F.transform(vector, lambda v, i: v - F.get(F.array(*[F.lit(means[f"m{j}"]) for j in range(n)]), i))
+    outer = df.select(centred.alias("v")).select(F.posexplode("v").alias("i", "a"), "v")
+    sums = outer.groupBy("i").agg(*[F.sum(F.col("a") * F.col("v")[j]).alias(f"c{j}") for j in range(n)])
+    cov = np.zeros((n, n))
+    for r in sums.collect():
+        cov[r.i] = [r[f"c{j}"] for j in range(n)]
+    values, axes = np.linalg.eigh(cov / max(1, means["n"] - 1))
+    out = []
+    for rank in range(k):
+        axis = axes[:, -1 - rank]
+        axis = axis * np.sign(axis[np.abs(axis).argmax()])
+        out += [(rank + 1, float(values[-1 - rank] / values.sum()), int(d), float(axis[d])) for d in np.argsort(-np.abs(axis), kind="stable")]
+    return spark.createDataFrame(out, "component int, variance_share double, dimension int, loading double")

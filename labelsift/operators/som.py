@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from labelsift.operators.sampling import sample
+
 ADJACENT = 1.42
 DISTANCES = ("euclidean", "cosine", "manhattan", "chebyshev")
 NEIGHBOURHOODS = ("gaussian", "mexican_hat", "bubble", "triangle")
@@ -237,3 +239,21 @@ def drivers(nodes: DataFrame, features: list[str], share: str, base: float) -> D
     lean = F.col(share) >= base
     aggs = [((F.avg(F.when(lean, F.col(c))) - F.avg(F.when(~lean, F.col(c)))) / F.stddev_pop(c)).alias(c) for c in features]
     return nodes.where(F.col(share).isNotNull()).agg(*aggs).unpivot([], features, "feature", "gap").orderBy(F.abs("gap").desc(), "feature")
+
+
+def sweep(df: DataFrame, key: str, vector: str, sides: tuple[int, ...], steps: int, seed: int = 42, rows: int = 100_000) -> DataFrame:
+    """(side, quantization_error, topographic_error, empty_pct, median_hits) of square maps, trained on ``rows`` rows at most, those of least
+    hash, and measured on all."""
+    spark = df.sparkSession
+    train = np.array([r[0] for r in sample(df, key, rows, seed).select(vector).collect()])
+    out = None
+    for side in sides:
+        m = Som(side, side, train.shape[1], sigma=side / 2, seed=seed)
+        m.start_from_axes(train)
+        m.train(train, steps, shuffled=True)
+        nodes = m.frame(spark)
+        hits = nodes.select("node").join(assign(df, key, vector, nodes).groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node", "left").fillna(0, ["n"])
+        spread = hits.agg((100.0 * F.avg((F.col("n") == 0).cast("double"))).alias("empty_pct"), F.median("n").alias("median_hits"))
+        one = map_quality(df, key, vector, nodes).crossJoin(spread).select(F.lit(side).alias("side"), "quantization_error", "topographic_error", "empty_pct", "median_hits")
+        out = one if out is None else out.unionAll(one)
+    return out

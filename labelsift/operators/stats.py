@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -51,6 +55,50 @@ def chi_square_of(cells: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
     )
 
 
+def rand_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, ari) for each pair of labelings, over the rows that have both."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    parts = [adjusted_rand(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "ari") for a, b in pairs]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def chi_square_p(x: Column, dof: Column) -> Column:
+    """The chance of a chi-square of x or more: the closed sum for even degrees of freedom, and for odd ones the series around erfc's."""
+    half = x / 2
+
+    def summed(steps: Column, first: float, next_term: Callable[[Column, Column], Column]) -> Column:
+        """The sum of 1 (or 0) and of terms, each made of the one before and its number."""
+        start = F.struct(F.lit(1.0).alias("t"), F.lit(first).alias("s"))
+
+        def add(state: Column, k: Column) -> Column:
+            term = next_term(state["t"], k)
+            return F.struct(term.alias("t"), (state["s"] + (term if first else state["t"])).alias("s"))
+
+        return F.aggregate(steps, start, add, lambda state: state["s"])
+
+    even = F.exp(-half) * summed(F.sequence(F.lit(0).cast("long"), (dof / 2).cast("long") - 1), 0.0, lambda t, k: t * half / (k + 1))
+    # P(a, h) = h^a e^-h / Gamma(a + 1) * (1 + h / (a + 1) + ...), a = dof / 2
+    a = dof / 2.0
+    log_gamma = F.aggregate(F.sequence(F.lit(0).cast("long"), ((dof - 1) / 2).cast("long")), F.lit(0.5 * math.log(math.pi)), lambda s, k: s + F.log(k + 0.5))
+    series = summed(F.sequence(F.lit(1), F.lit(600)), 1.0, lambda t, k: t * half / (a + k))
+    odd = F.greatest(F.lit(0.0), 1 - F.exp(a * F.log(half) - half - log_gamma) * series)
+    return F.when(x <= 0, 1.0).when(dof % 2 == 0, even).otherwise(odd)
+
+
+def contrast(df: DataFrame, value: Column, inside: Column) -> DataFrame:
+    """(n_in, n_out, mean_in, mean_out, difference): a value's mean where a condition holds, and where it doesn't."""
+    one = df.select(value.cast("double").alias("v"), inside.alias("g")).agg(
+        F.count_if(F.col("g")).alias("n_in"), F.count_if(~F.col("g")).alias("n_out"), F.avg(F.when(F.col("g"), F.col("v"))).alias("mean_in"), F.avg(F.when(~F.col("g"), F.col("v"))).alias("mean_out")
+    )
+    return one.withColumn("difference", F.col("mean_in") - F.col("mean_out"))
+
+
+def group_residuals(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
+    """(group, mean_residual) of the line fitted to all rows."""
+    line = df.agg(F.regr_slope(y, x).alias("_m"), F.regr_intercept(y, x).alias("_k"))
+    return df.crossJoin(F.broadcast(line)).groupBy(group).agg(F.avg(F.col(y) - F.col("_m") * F.col(x) - F.col("_k")).alias("mean_residual"))
+
+
 #: Ranges of scores that running sums are made in.
 SCORE_RANGES = 256
 

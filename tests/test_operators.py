@@ -1,8 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelsift.operators import classify, cluster, rules, sampling, som, stats, vote
+from labelsift.operators import classify, cluster, entity, rules, sampling, som, stats, vote
 from labelsift.plans import analytics
 from labelsift.sources import files
 from labelsift.plans import profiles
@@ -14,7 +16,7 @@ def table_of(spark, counts):
 
 
 def test_adjusted_rand_of_published_table(spark):
-    # published contingency of four clusters by brand, female, male, and the indices that belong to it
+    # fixed values: a published contingency of four clusters by brand, female, male, and the indices that belong to it
     cells = [(971, 2922, 2864), (831, 1558, 1091), (1556, 730, 661), (2053, 1143, 1298)]
     df = spark.createDataFrame([(i, j, n) for i, line in enumerate(cells) for j, n in enumerate(line)], "a int, b int, n int").select("a", "b", F.explode(F.sequence(F.lit(1), "n")))
     assert round(stats.adjusted_rand(df, "a", "b").first().ari, 4) == 0.0537
@@ -28,46 +30,93 @@ def test_chi_square_of_published_votes(spark, rows, chi2):
     assert (round(got.chi2, 1), got.dof) == (chi2, 2)
 
 
-def test_som_units():
-    m = som.Som(5, 5, 1)
-    assert np.allclose(np.linalg.norm(m.weights, axis=-1), 1)
-    m.weights = np.zeros((5, 5, 1))
-    m.weights[2, 3], m.weights[1, 1] = 5, 2
-    assert m.winner([5.0]) == (2, 3) and m.won([[5.0], [2.0]]) == {(2, 3): [0], (1, 1): [1]}
-    assert m.won([[5.0], [2.0]], ["a", "b"])[(2, 3)] == ["a"]
-    assert m.quantization_error([[5], [2]]) == 0 and m.quantization_error([[4], [1]]) == 1
-    assert m.hits([[5.0], [2.0]])[2, 3] == 1
-    assert m.quantization([[4.0], [2.0]]).ravel().tolist() == [5, 2]
-    m.weights[2, 4], m.weights[4, 4], m.weights[0, 0] = 6, 15, 14
-    assert m.topographic_error([[5]]) == 0 and m.topographic_error([[15]]) == 1
+METRICS = {
+    "euclidean": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5,
+    "manhattan": lambda a, b: sum(abs(x - y) for x, y in zip(a, b)),
+    "chebyshev": lambda a, b: max(abs(x - y) for x, y in zip(a, b)),
+    "cosine": lambda a, b: 1 - sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5),
+}
+
+
+@pytest.mark.parametrize("distance", sorted(METRICS))
+@pytest.mark.parametrize("rows,columns", [(4, 3), (1, 6), (3, 7)])
+def test_map_measures_by_double_loops(rows, columns, distance):
+    """Winners, hits and errors of random maps, each node looked at by itself."""
+    rng = np.random.default_rng(rows * columns)
+    m = som.Som(rows, columns, 3, distance=distance)
+    m.weights = rng.normal(size=(rows, columns, 3)) + 2
+    data = rng.normal(size=(40, 3)) + 2
+    nodes = [(i, j) for i in range(rows) for j in range(columns)]
+    far = METRICS[distance]
+    best = [min(nodes, key=lambda n: far(x, m.weights[n])) for x in data]
+    assert [m.winner(x) for x in data] == best
+    assert {n: k for n in nodes if (k := m.hits(data)[n])} == {n: best.count(n) for n in set(best)}
+    names = [f"r{k}" for k in range(len(data))]
+    assert m.won(data, names) == {n: [names[k] for k, w in enumerate(best) if w == n] for n in set(best)}
+    plain = METRICS["euclidean"]
+    assert np.isclose(m.quantization_error(data), np.mean([plain(x, m.weights[n]) for x, n in zip(data, best)]))
+    apart = 0
+    for x in data:
+        first, second = sorted(nodes, key=lambda n: plain(x, m.weights[n]))[:2]
+        apart += max(abs(first[0] - second[0]), abs(first[1] - second[1])) > 1
+        assert np.allclose(m.quantization([x])[0], m.weights[first])
+    assert np.isclose(m.topographic_error(data), apart / len(data))
+
+
+def test_map_neighbourhoods_by_definition():
+    centre, sigma = (3, 2), 1.7
     for kind in som.NEIGHBOURHOODS:
-        f = som.Som(5, 5, 1, neighbourhood=kind).influence((2, 2), 1)
-        assert f.max() == 1 and f.argmax() == 12
-        assert kind in ("gaussian", "mexican_hat") or f.sum() == 1
-    for bad in (dict(neighbourhood="x"), dict(distance="x"), dict(topology="x")):
+        got = som.Som(6, 5, 2, neighbourhood=kind).influence(centre, sigma)
+        for i in range(6):
+            for j in range(5):
+                a, b = abs(i - centre[0]), abs(j - centre[1])
+                u = (a * a + b * b) / (2 * sigma**2)
+                want = {"gaussian": np.exp(-u), "mexican_hat": np.exp(-u) * (1 - 2 * u), "bubble": float(a < sigma and b < sigma), "triangle": max(0, sigma - a) * max(0, sigma - b)}
+                assert np.isclose(got[i, j], want[kind])
+
+
+@pytest.mark.parametrize("topology", ["rectangular", "hexagonal"])
+def test_map_borders_by_places(topology):
+    """A node's neighbours are those one step away in the plane: eight on a square grid, six where every second line is shifted."""
+    rng = np.random.default_rng(9)
+    m = som.Som(4, 5, 2, topology=topology)
+    m.weights = rng.normal(size=(4, 5, 2))
+    nodes = [(i, j) for i in range(4) for j in range(5)]
+
+    def near(n, o):
+        gap = np.abs(m.place[n] - m.place[o])
+        return n != o and (gap.max() <= 1 if topology == "rectangular" else gap[1] <= 1 and gap[0] <= (0.5 if gap[1] else 1))
+
+    for scaling, merge in (("sum", sum), ("mean", np.mean)):
+        want = np.array([[merge([METRICS["euclidean"](m.weights[i, j], m.weights[o]) for o in nodes if near((i, j), o)]) for j in range(5)] for i in range(4)])
+        assert np.allclose(m.u_matrix(scaling), want / want.max())
+
+
+def test_map_training_is_repeatable_and_gets_nearer():
+    data = np.random.default_rng(4).uniform(size=(150, 3))
+    maps = [som.Som(4, 6, 3, sigma=2.5, seed=8) for _ in range(2)]
+    for m in maps:
+        m.start_from_axes(data)
+    before = maps[0].quantization_error(data)
+    for m in maps:
+        m.train(data, 900, shuffled=True)
+    assert np.array_equal(maps[0].weights, maps[1].weights) and maps[0].quantization_error(data) < 0.7 * before
+    # the start lies in the plane of the two widest axes, its corners at plus and minus their sum
+    wide = np.random.default_rng(5).normal(size=(400, 3)) * [9, 3, 0.1]
+    m = som.Som(3, 3, 3)
+    m.start_from_axes(wide)
+    axes = np.linalg.svd(wide - wide.mean(0))[2]
+    assert np.allclose(np.abs(m.weights[0, 0] @ axes.T), [1, 1, 0], atol=1e-6) and np.allclose(m.weights[1, 1], 0)
+
+
+def test_map_refuses_what_it_does_not_know():
+    for bad in (dict(neighbourhood="square"), dict(distance="cubic"), dict(topology="round")):
+        with pytest.raises(ValueError):
+            som.Som(2, 2, 2, **bad)
+    m = som.Som(2, 3, 4)
+    for call in (lambda: m.train([[0.0] * 3], 5), lambda: m.train([[0.0] * 4], 0), lambda: m.won([[0.0] * 4], []), lambda: som.Som(2, 2, 1).start_from_axes([[1.0], [2.0]])):
         with pytest.raises(ValueError):
-            som.Som(5, 5, 1, **bad)
-    with pytest.raises(ValueError):
-        m.train([[1, 2]], 1)
-
-
-def test_som_training_and_maps():
-    a, b = som.Som(5, 5, 2, seed=1), som.Som(5, 5, 2, seed=1)
-    data = np.random.RandomState(0).rand(100, 2)
-    before = a.quantization_error(data)
-    a.train(data, 200, shuffled=True)
-    b.train(data, 200, shuffled=True)
-    assert np.array_equal(a.weights, b.weights) and a.quantization_error(data) < before
-    u = som.Som(3, 3, 1)
-    u.weights = np.array([[1, 0, 1], [0, 1, 0], [1, 0, 1]], float)[..., None]
-    want = np.array([[2 / 3, 3 / 5, 2 / 3], [3 / 5, 4 / 8, 3 / 5], [2 / 3, 3 / 5, 2 / 3]])
-    assert np.allclose(u.u_matrix("mean"), want / want.max())
-    h = som.Som(2, 2, 2, topology="hexagonal")
-    h.weights = np.array([[[1.0, 0], [0, 1]], [[1, 0], [0, 1]]])
-    assert np.allclose(h.u_matrix(), [[0.5, 1], [1, 0.5]])
-    p = som.Som(2, 2, 2, compat=True)
-    p.start_from_axes([[1, 0], [0, 1], [1, 0], [0, 1]])
-    assert np.allclose(np.abs(p.weights), np.abs([[[0, 2**0.5], [2**0.5, 0]], [[2**0.5, 0], [0, 2**0.5]]]))
+            call()
 
 
 def test_som_plans_match_numpy(spark):
@@ -91,7 +140,7 @@ def test_naive_bayes_takes_the_whole_vocabulary(spark, monkeypatch):
     assert analytics.QUERIES["ml_nb"][0](spark, "").count() == 6 and len(seen[0][1]) == 600
 
 
-def test_silhouette_all_takes_every_row(spark, monkeypatch):
+def test_silhouette_takes_every_row(spark, monkeypatch):
     x, label = np.random.RandomState(1).rand(360, 3), np.arange(360) % 3
     rows = spark.createDataFrame([(i, int(label[i]), v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, v array<double>")
     monkeypatch.setattr(analytics, "vectors", lambda *_: rows)
@@ -101,7 +150,7 @@ def test_silhouette_all_takes_every_row(spark, monkeypatch):
         mean = [gaps[i, (label == k) & (np.arange(360) != i)].mean() for k in range(3)]
         a, b = mean[label[i]], min(mean[k] for k in range(3) if k != label[i])
         widths.append((b - a) / max(a, b))
-    assert analytics.QUERIES["ml_silhouette_all"][0](spark, "").first().silhouette == pytest.approx(np.mean(widths))
+    assert analytics.QUERIES["ml_silhouette"][0](spark, "").first().silhouette == pytest.approx(np.mean(widths), abs=1e-6)
 
 
 def test_registered_maps_take_all_rows_and_values(spark, monkeypatch):
@@ -231,3 +280,54 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("cleaned").where("message_clean = 'see URLTOKEN'").count() == 1
     assert spark.table("firsts").count() == 2
+
+
+def test_chi_square_p(spark):
+    """Against published critical values of 5 % and 1 %."""
+    critical = [(1, 3.841459, 0.05), (2, 5.991465, 0.05), (3, 7.814728, 0.05), (8, 15.507313, 0.05), (15, 24.995790, 0.05), (1, 6.634897, 0.01), (10, 23.209251, 0.01)]
+    rows = spark.createDataFrame([(x, d, p) for d, x, p in critical] + [(0.0, 3, 1.0)], "x double, dof long, p double")
+    for r in rows.select("p", stats.chi_square_p(F.col("x"), F.col("dof")).alias("got")).collect():
+        assert abs(r.p - r.got) < 1e-7
+
+
+def test_principal_axes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)) * [5, 1, 0.5, 0.1] + [9, 9, 9, 9]
+    rows = cluster.principal(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), "v", 2).collect()
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    for rank in (1, 2):
+        own = sorted((r for r in rows if r.component == rank), key=lambda r: r.dimension)
+        assert np.isclose(own[0].variance_share, values[-rank] / values.sum())
+        assert np.isclose(abs(np.dot([r.loading for r in own], axes[:, -rank])), 1)
+
+
+def test_consensus_disagreement_and_strong_rules(spark):
+    rows = [(i, float(i % 2), p) for i, p in enumerate([0.05, 0.1, 0.9, 0.02, 0.2, 0.95])]
+    scored = spark.createDataFrame([(i, y, p, p) for i, y, p in rows], "id int, y double, p_a double, p_b double")
+    flagged = {r.id for r in classify.consensus_flags(scored, "y", ["p_a", "p_b"]).where("flagged = 1").collect()}
+    assert flagged == {i for i, y, p in rows if (p if y else 1 - p) <= 0.2}
+    assert {r.id for r in classify.disagreement(scored, "y", "p_a").collect()} == {i for i, y, p in rows if abs(y - p) >= 0.85}
+    held = spark.createDataFrame([("a", "x", 6.5, 0.9), ("b", "x", 6.5, 0.7), ("c", "brand", 1.6, 0.85), ("d", "human", 1.6, 0.85)], "lhs string, label string, lift double, confidence double")
+    assert [r.lhs for r in rules.strong(held).collect()] == ["a"] and [r.lhs for r in rules.strong(held, "brand").collect()] == ["c"]
+    assert rules.strong(held, "human").count() == 0
+
+
+def test_ranks_scores_and_groups_against_plain_python(spark):
+    """Ranks in ranges, sums over score ranges and leave-one-out, with null groups, ties and repeated rows."""
+    rows = [(i if i % 11 else None, "ab"[i % 2] if i % 5 else None, float(i * 7 % 23), int(i * 5 % 3 == 0)) for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "id long, g string, score double, y int").repartition(5)
+    got = sampling.ranked(df, "id", 42, ["g"]).collect()
+    for g in ("a", "b", None):
+        own = sorted((hashlib.md5(f"{i}|42".encode()).hexdigest(), i) for i, x, *_ in rows if x == g and i is not None)
+        nulls = sum(x == g and i is None for i, x, *_ in rows)
+        ranks = sorted((r._rank, r.id) for r in got if r.g == g)
+        assert [i for _, i in ranks] == [None] * nulls + [i for _, i in own] and [k for k, _ in ranks] == list(range(1, len(ranks) + 1))
+        assert {r._size for r in got if r.g == g} == {len(ranks)}
+    pos, neg = [s for _, _, s, y in rows if y], [s for _, _, s, y in rows if not y]
+    wanted = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+    assert abs(stats.auc(df, "score", "y").first().auc - wanted) < 1e-12
+    curve = {r.threshold: (r.fpr, r.tpr) for r in stats.roc(df, "score", "y").collect()}
+    assert curve == {t: pytest.approx((sum(x >= t for x in neg) / len(neg), sum(x >= t for x in pos) / len(pos))) for t in {s for _, _, s, _ in rows}}
+    for r in entity.leave_one_out(df, "g", F.col("y") == 1, F.col("score") > 5).collect():
+        others = [(s, y) for _, x, s, y in rows if x == r.g]
+        assert r.others_n == sum(s > 5 for s, _ in others) - (r.score > 5) and r.others_hits == sum(s > 5 and y for s, y in others) - (r.score > 5 and r.y)

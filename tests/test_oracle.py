@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from labelsift.plans import analytics, relational
+from labelsift.plans import analytics, models, relational
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES = {**relational.QUERIES, **analytics.QUERIES}
+QUERIES = {**relational.QUERIES, **analytics.QUERIES, **models.QUERIES}
 
 
 @pytest.fixture(scope="module")
