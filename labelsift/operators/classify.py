@@ -72,13 +72,13 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return out.withColumn("_weight", F.col("_n") / (2.0 * F.when(F.col(label) == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p")))).drop("_n", "_p")
 
 
-def logistic(train: DataFrame, label: str, features: str = "features", c: float = 1.0, balance: bool = True):
+def logistic(train: DataFrame, label: str, features: str = "features", c: float = 1.0, balance: bool = True, tolerance: float = 1e-8):
     """L2 logistic regression with penalty 1 / C on the sum of losses; coefficients aren't rescaled."""
     ready = balanced(train, label) if balance else train.withColumn("_weight", F.lit(1.0))
     ready = ready.cache()
     try:
         total = ready.agg(F.sum("_weight")).first()[0]
-        return LogisticRegression(featuresCol=features, labelCol=label, weightCol="_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-8).fit(ready)
+        return LogisticRegression(featuresCol=features, labelCol=label, weightCol="_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=tolerance).fit(ready)
     finally:
         ready.unpersist()
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from labelsift.functions import text
 from labelsift.functions.numeric import threshold_flag
 from labelsift.operators import charts, classify, cluster, features, rules, sampling, som, stats
-from labelsift.plans.analytics import LABELLED, NUMERIC, VOTED, baskets, labelled, profile_vectors, small_map, vectors, voted
+from labelsift.plans.analytics import LABELLED, NUMERIC, VOTED, baskets, labelled, profile_vectors, ready, small_map, vectors, voted
 from labelsift.sources.tables import table
 
 c, lit = F.col, F.lit
@@ -140,7 +140,7 @@ def combined(s, d) -> tuple[DataFrame, list[str]]:
 @query("tx_top_terms")
 def _(s, d):
     rows, names = combined(s, d)
-    least, most = classify.top_terms(classify.logistic(rows, "quality"), names)
+    least, most = classify.top_terms(classify.logistic(rows, "quality", tolerance=1e-4), names)
     found = [("least", i + 1, t, w) for i, (t, w) in enumerate(least)] + [("most", i + 1, t, w) for i, (t, w) in enumerate(most)]
     return s.createDataFrame(found, "side string, rank int, feature string, coefficient double")
 
@@ -159,8 +159,9 @@ THREE = {
 
 @query("ml_consensus")
 def _(s, d):
-    """Three models, trained on trusted labels only (here those of documents in a known language), score every label out of fold."""
-    rows, _ = combined(s, d)
+    """Three models, two of scaled numbers and one of terms, trained on trusted labels only (here those of documents in a known language), score
+    every label out of fold."""
+    rows = ready(s, d).select("doc_id", "quality", "features")
     terms, _ = classify.vectors(classify.tfidf(heads(s, d), "doc_id", words("text")), "doc_id", rows.select("doc_id"))
     rows = rows.join(terms.withColumnRenamed("features", "terms"), "doc_id").join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
     scored = classify.out_of_fold(rows, "doc_id", "quality", c("lang").isNotNull(), THREE, k=3)
@@ -170,8 +171,7 @@ def _(s, d):
 
 @query("ml_disagreement")
 def _(s, d):
-    rows, _ = combined(s, d)
-    scored = classify.out_of_fold(rows, "doc_id", "quality", lit(True), {"lr": THREE["lr"]}, k=3)
+    scored = classify.out_of_fold(ready(s, d), "doc_id", "quality", lit(True), {"lr": THREE["lr"]}, k=3)
     return classify.disagreement(scored, "quality", "p_lr").select("doc_id", "quality", "p_lr", "disagreement")
 
 
