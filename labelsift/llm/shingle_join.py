@@ -3,11 +3,13 @@
 Under any one order of all shingles, two sets of Jaccard similarity t share a shingle among the first
 s - ceil(t s) + 1 of each. Candidates share one under the first order and, before verification, must also share one
 under the others. The orders put frequent shingles last (by a sketch of fixed size that counts all documents) and
-differ in how they break ties, so that they agree by chance only rarely. Lengths and parity bitmaps
+differ in how they break ties, so that they agree by chance only rarely. Of two linked sets, the first common shingle lies even among the first
+s - ceil(2 t s / (1 + t)) + 1 of the smaller one: a pair counts only where the smaller holds the key that early. Lengths and parity bitmaps
 (popcount of the XOR is at most the symmetric difference) are checked in the join.
 
-Sets, not documents, are joined: copies are one node. Keys that hold the same nodes are one key. A key that holds more than GROUP nodes isn't
-paired off. It is split by size first, each node going to its own range of sizes and the next, as sizes of linked sets differ little. In
+Sets, not documents, are joined: copies are one node. Only sizes, bitmaps and the first prefix are written down; the sets themselves are made again
+from the documents for those nodes whose pairs the bitmaps leave open. Keys that hold the same nodes are one key. A key that holds more than GROUP nodes isn't
+paired off. Keys of one central node, the hub, become one group. It is split by size first, each node going to its own range of sizes and the next, as sizes of linked sets differ little. In
 what still is too large, all are compared with one hub, and keys with one hub become one group. Nodes linked to the hub are connected already; others
 meet the group's nodes, by sizes and 128-bit bitmaps up to MIDDLE of them and else as bitmaps of one to two bits a shingle, in numpy, BLOCK of
 them at a time, and only pairs that the bitmaps leave open go on.
@@ -19,12 +21,14 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from labelsift.llm.common import arrow_batches, materialize, scratch, table
+from labelsift.llm.common import arrow_batches, discard, materialize, scratch, table
 from labelsift.llm.graph import components, spread_lookup
 
 #: Nodes of a key up to which they are compared pair by pair, by sizes and bitmaps first. Pairs carry their sets: beyond, a hub needs fewer.
@@ -174,41 +178,40 @@ def prefix(values: np.ndarray, heavy: np.ndarray, order: int, length: int) -> np
     return values[np.argsort(rank, kind="stable")[:length]]
 
 
-def shingle_sets(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, orders: int = ORDERS) -> DataFrame:
-    """(id, n, node, bits_a, bits_b, grams, first, others). ``node`` is the set's own hash, null for an empty set; ``first`` the prefix in
-    the first order, ``others`` the prefixes in the other orders, in 4 bytes each."""
+def shingle_sets(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, classes: Broadcast, whole: bool = False, orders: int = ORDERS) -> DataFrame:
+    """(id, n, node, bits_a, bits_b, wide, first): ``node`` is the set's own hash, null for an empty set; ``first`` the prefix in the first order.
+    With ``whole`` (id, n, node, grams, others): the set, and the prefixes in the other orders, in 4 bytes each."""
     kind = docs.schema[id_col].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, width, text_col))
+    names = ["id", "n", "node", "grams", "others"] if whole else ["id", "n", "node", "bits_a", "bits_b", "wide", "first"]
+    numbers = 2 if whole else 4
 
     def read(batches):
-        classes, hasher = shared.value, WordHasher()
+        of_counter, hasher = classes.value, WordHasher()
         import xxhash
 
+        def row(s: np.ndarray) -> tuple:
+            s = np.unique(s)
+            if not len(s):
+                return (0, None, *[None] * 2) if whole else (0, None, 0, 0, None, None)
+            grams = pack(s)
+            node = _signed(xxhash.xxh3_64_intdigest(grams))
+            heavy = of_counter[(s % np.uint64(len(of_counter))).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+            cut = len(s) - least_common(len(s), num, den) + 1
+            if whole:
+                return len(s), node, grams, b"".join(pack(prefix(s, heavy, k + 1, cut), 4) for k in range(1, orders))
+            wide = parity(s)
+            bits = int.from_bytes(fold(np.frombuffer(wide, np.uint8), 16).tobytes(), "little")
+            return len(s), node, _signed(bits & _WORD), _signed(bits >> 64), wide, pack(prefix(s, heavy, 1, cut))
+
         for batch in batches:
-            out: list[tuple] = []
-            for s in text_shingles(batch.column(1), width, hasher):
-                s = np.unique(s)
-                if not len(s):
-                    out.append((0, None, 0, 0, None, None, None, None))
-                    continue
-                grams = pack(s)
-                wide = parity(s)
-                bits = int.from_bytes(fold(np.frombuffer(wide, np.uint8), 16).tobytes(), "little")
-                heavy = classes[(s % np.uint64(len(classes))).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-                cut = len(s) - least_common(len(s), num, den) + 1
-                first = prefix(s, heavy, 1, cut)
-                others = b"".join(pack(prefix(s, heavy, k + 1, cut), 4) for k in range(1, orders))
-                node = xxhash.xxh3_64_intdigest(grams)
-                out.append((len(s), node - (1 << 64) if node >> 63 else node, _signed(bits & _WORD), _signed(bits >> 64), wide, grams, pack(first), others))
+            out = [row(s) for s in text_shingles(batch.column(1), width, hasher)]
             if out:
-                n, node, a, b, wide, grams, first, others = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, node, a, b)), *(pa.array(x, pa.binary()) for x in (wide, grams, first, others))], ["id", "n", "node", "bits_a", "bits_b", "wide", "grams", "first", "others"]
-                )
+                columns = [pa.array(x, pa.int64() if k < numbers else pa.binary()) for k, x in enumerate(zip(*out, strict=True))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        read, f"id {kind.simpleString()}, n long, node long, bits_a long, bits_b long, wide binary, grams binary, first binary, others binary"
-    )
+    kinds = [kind.simpleString(), *["long"] * numbers, *["binary"] * 2]
+    schema = ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(read, schema)
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -243,21 +246,28 @@ def least_common(n: int, num: int, den: int) -> int:
     return -((-num * n) // den)
 
 
-def prefix_rows(sets: DataFrame) -> DataFrame:
-    """(key, node): the shingles before the cut in the first order. Copies of a set are one node."""
+def index_length(n: int, num: int, den: int) -> int:
+    """How many of a set's first shingles one must be that it shares with a similar set of its size or more."""
+    return n - -((-2 * num * n) // (num + den)) + 1
+
+
+def prefix_rows(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node, index): the shingles before the cut in the first order; ``index`` tells those that come first enough for the smaller of a pair.
+    Copies of a set are one node."""
 
     def read(batches):
         for batch in batches:
-            keys, nodes = [], []
-            for node, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, nodes, index = [], [], []
+            for node, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got = unpack(first)
                 keys.append(got.astype(np.int64))
                 nodes.append(np.full(len(got), node, np.int64))
+                index.append(np.arange(len(got)) < index_length(n, num, den))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, index)], ["key", "node", "index"])
 
-    once = sets.select("node", "first").groupBy("node").agg(F.first("first").alias("first"))
-    return once.mapInArrow(read, "key long, node long")
+    once = sets.select("node", "n", "first").groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    return once.mapInArrow(read, "key long, node long, index boolean")
 
 
 def sift(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -302,24 +312,27 @@ def judge(pairs: DataFrame, num: int, den: int, orders: int = ORDERS) -> DataFra
     return pairs.select("x", "y", "hub", "sx", "sy").mapInArrow(read, "x long, y long, hub boolean")
 
 
-def _held(sets: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the nodes of pairs (x, y), once each."""
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    """(node) of pairs (x, y), once each, marked to be broadcast if they are few."""
     wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return sets.select("node", *columns).join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
+    return F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
 
 
-def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int, orders: int) -> DataFrame:
+def verify(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], pairs: DataFrame, num: int, den: int, orders: int) -> DataFrame:
     """(x, y, hub) of the pairs (x, y, hub) that are linked: bitmaps first, then prefixes under the other orders, then the sets."""
     pairs = materialize(pairs.groupBy("x", "y").agg(F.bool_or("hub").alias("hub")), "pairs")
-    maps = _held(sets, pairs, ["n", "wide"])
+    maps = sets.select("node", "n", "wide").join(_nodes_of(pairs), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
     both = pairs.join(maps.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("wide").alias("wx")), "x").join(maps.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("wide").alias("wy")), "y")
     with arrow_batches(sets.sparkSession, 2000):
         close = materialize(sift(both, num, den), "sifted")
-    full = _held(sets, close, ["n", "grams", "others"]).select("node", F.struct("n", "grams", "others").alias("s"))
-    both = close.join(full.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(full.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
+    discard(pairs)
     with arrow_batches(sets.sparkSession, 200):
-        return materialize(judge(both, num, den, orders), "links")
+        full = materialize(whole(_nodes_of(close)).select("node", F.struct("n", "grams", "others").alias("s")), "whole")
+        both = close.join(full.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(full.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
+        found = materialize(judge(both, num, den, orders), "links")
+    discard(close)
+    discard(full)
+    return found
 
 
 def _fits(x: str, y: str, num: int, den: int) -> Column:
@@ -330,12 +343,15 @@ def _fits(x: str, y: str, num: int, den: int) -> Column:
 
 
 def _pairs(active: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, hub) of keys of few nodes, by sizes and short bitmaps; if there is a column must, one of the two must have it."""
-    own = ["node", "n", "bits_a", "bits_b"] + ["must"] * ("must" in active.columns)
+    """(x, y, hub) of keys of few nodes, by sizes and short bitmaps; if there is a column must, one of the two must have it; if there is a column
+    index, the smaller must have it, or both of one size."""
+    own = ["node", "n", "bits_a", "bits_b", *[c for c in ("must", "index") if c in active.columns]]
     left, right = (active.select("key", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in ("x", "y"))
     fits = (F.col("node_x") < F.col("node_y")) & _fits("x", "y", num, den)
     if "must" in active.columns:
         fits = fits & (F.col("must_x") | F.col("must_y"))
+    if "index" in active.columns:
+        fits = fits & (F.col("index_x") | (F.col("n_x") > F.col("n_y"))) & (F.col("index_y") | (F.col("n_y") > F.col("n_x")))
     return left.join(right, "key").where(fits).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), F.lit(False).alias("hub"))
 
 
@@ -404,29 +420,30 @@ def in_blocks(groups: DataFrame, block: int) -> DataFrame:
     return met.withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other", "size")
 
 
-def links(sets: DataFrame, num: int, den: int, group: int = GROUP, middle: int = MIDDLE, block: int = BLOCK, orders: int = ORDERS) -> DataFrame:
+def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int, group: int = GROUP, middle: int = MIDDLE, block: int = BLOCK, orders: int = ORDERS) -> DataFrame:
     """(a, b): links between different nodes that connect all nodes that similar sets connect."""
     facts = sets.select("node", "n", "bits_a", "bits_b").distinct()
-    rows = prefix_rows(sets)
-    # keys that hold the same nodes, as most keys of a group of copies do, are one key
-    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("nodes > 1")
-    active = rows.join(held, "key").groupBy(F.xxhash64("nodes", "mark").alias("key"), "node").agg(F.count(F.lit(1)).alias("times"))
-    active = materialize(active, "shared")
-    degree = active.groupBy("node").agg(F.sum("times").alias("degree"))
-    active = active.drop("times")
-    active = materialize(_with_size(active.join(degree, "node").join(facts, "node")), "keys")
+    rows = prefix_rows(sets, num, den)
+    # keys that hold the same nodes, as many keys of a group of copies do, are one key
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.bool_or("index").alias("indexed")).where("nodes > 1 AND indexed")
+    active = rows.join(held, "key").groupBy(F.xxhash64("nodes", "mark").alias("key"), "node").agg(F.count(F.lit(1)).alias("times"), F.bool_or("index").alias("index"))
+    shared = materialize(active, "shared")
+    degree = shared.groupBy("node").agg(F.sum("times").alias("degree"))
+    active = materialize(_with_size(shared.drop("times").join(degree, "node").join(facts, "node")), "keys")
+    discard(shared)
+    own = ["node", "n", "bits_a", "bits_b"]
     first = _pairs(active.where(F.col("size") <= group), num, den)
+    central = active.where(F.col("size") > group).groupBy(F.col("hub").alias("key"), "node").agg(*[F.first(c).alias(c) for c in ("degree", *own[1:])])
     # sizes n and m of linked sets have m >= t n: they lie in one range of the logarithm to base 1/t, or in neighbouring ones
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) or 1e-12) - 1e-9)
-    own = ["node", "n", "bits_a", "bits_b"]
-    ranged = active.where(F.col("size") > group).select(F.explode(F.array(step, step + 1)).alias("step"), "key", "degree", *own)
+    ranged = central.select(F.explode(F.array(step, step + 1)).alias("step"), "key", "degree", *own)
     ranged = materialize(_with_size(ranged.select(F.xxhash64("key", "step").alias("key"), "degree", *own)), "ranges")
     second = _pairs(ranged.where(F.col("size") <= group), num, den)
     hot = materialize(ranged.where(F.col("size") > group).select("hub", *own).distinct(), "hot")
     # the hub is its group's own member, so its facts are there
     sides = hot.select("hub", *[F.col(c).alias(f"{c}_x") for c in own]).join(facts.select(*[F.col(c).alias(f"{c}_y") for c in own]), F.col("hub") == F.col("node_y"))
     hubs = sides.where((F.col("node_x") != F.col("node_y")) & _fits("x", "y", num, den)).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), F.lit(True).alias("hub"))
-    found = verify(sets, first.union(second).union(hubs), num, den, orders)
+    found = verify(sets, whole, first.union(second).union(hubs), num, den, orders)
     out = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
     if hot.isEmpty():
         return out
@@ -445,7 +462,7 @@ def links(sets: DataFrame, num: int, den: int, group: int = GROUP, middle: int =
         counts = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("must").alias("any")).where("size > 1 AND any").drop("any")
         pieces = materialize(pieces.join(counts, "key"), "pieces")
         pairs = pairs.union(compare(pieces.where(F.col("size") <= block), num, den)).union(compare(in_blocks(pieces.where(F.col("size") > block), block), num, den))
-    more = verify(sets, pairs, num, den, orders)
+    more = verify(sets, whole, pairs, num, den, orders)
     return out.union(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
@@ -457,11 +474,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     A null id never is a component's least unless all its ids are null. Repeated rows are linked to each other; other columns are
     ignored; an empty table gives no rows. Ids are integers.
     """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(own, width, "text"))
+
     with scratch() as kept:
         with arrow_batches(docs.sparkSession, 1000):
-            sets = materialize(shingle_sets(docs, width, num, den, id_col, text_col), "sets")
+            sets = materialize(shingle_sets(own, width, num, den, "id", "text", classes), "sets")
         members = materialize(sets.select("id", "n", "node"), "members")
-        edges = materialize(links(sets.where(F.col("node").isNotNull()), num, den, group, middle, block), "edges")
+
+        def whole(nodes: DataFrame) -> DataFrame:
+            """(node, n, grams, others), once each, of some nodes: made again from one document that holds each."""
+            holders = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select(F.col("id").alias("_h")).distinct()
+            few = holders.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+            part = own.join(F.broadcast(holders) if few else holders, F.col("id").eqNullSafe(F.col("_h")), "left_semi")
+            made = shingle_sets(part, width, num, den, "id", "text", classes, whole=True)
+            return made.join(nodes, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "grams", "others")])
+
+        edges = materialize(links(sets.where(F.col("node").isNotNull()), whole, num, den, group, middle, block), "edges")
         kept += [members, edges]
     nodes = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
     reach = components(edges, "reach").join(nodes.select("node", "least"), "node")
