@@ -8,20 +8,21 @@ contaminated by an item if a stretch matches LEAST tokens, or SHARE of all of a
 Items so short that SHARE of them is less than LEAST may miss one or two tokens, anywhere and at the ends of a document too. They are cut into one
 block more than that: one of them is there whole, and its hash is a seed as well. So no such item is missed, in documents of any length.
 
-The table of the items is sent to the tasks in blocks of bounded size; the documents are scanned once a block and never shuffled.
+Where the benchmark has few tokens, the table of the items is sent to the tasks, and documents are scanned once and never shuffled. A larger benchmark is
+joined by shuffle: of the documents' hashes, those travel that a bitmap of fixed size may know from the items; a hit's document, item and diagonal are
+one row, however many seeds agree, and only the stretch of the document that a diagonal covers is sent to be verified.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from labelsift.llm.common import table
+from labelsift.llm.common import materialize, table
 
 #: Masks over SPAN tokens, first and last position always counting.
 MASKS = ("1101001011", "1011100011", "1100110101", "1110001101")
@@ -29,8 +30,10 @@ SPAN, WEIGHT = 10, 6
 MISMATCH = 2
 LEAST = 10
 SHARE = 0.8
-#: Tokens of benchmark items in one broadcast table (about 100 bytes a token and mask).
+#: Tokens of a benchmark up to which its table is broadcast (about 100 bytes a token and mask).
 BLOCK_TOKENS = 200_000
+#: Bits of the map of the items' hashes, 4 MB.
+MAP_BITS = 1 << 25
 #: Slots of the first look; one bit tells whether any item has a hash there.
 SLOTS = 1 << 20
 KEPT = 400_000
@@ -163,19 +166,122 @@ def chain(tokens: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[Index]:
-    """Indexes over parts of the benchmark of about ``most`` tokens each; one part at a time is in memory."""
-    hasher, part, size = TokenHasher(), [], 0
-    for row in benchmark.select(id_col, text_col).toLocalIterator():
-        tokens = hasher(row[1])
-        if len(tokens):
-            part.append((row[0], tokens))
-            size += len(tokens)
-        if size >= most:
-            yield Index(part)
-            part, size = [], 0
-    if part:
-        yield Index(part)
+def _token_rows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, tokens): the items that have tokens, as hashes of 8 bytes each."""
+
+    def read(batches):
+        hasher = TokenHasher()
+        for batch in batches:
+            got = [(j, t.tobytes()) for j, x in enumerate(batch.column(1)) if len(t := hasher(x.as_py()))]
+            if got:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([j for j, _ in got])), pa.array([t for _, t in got], pa.binary())], ["item", "tokens"])
+
+    rows = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(read, f"item {benchmark.schema[id_col].dataType.simpleString()}, tokens binary")
+
+
+def _scanned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, item, matched, item_tokens, first_token, end_token), the items' table broadcast: they are few by check."""
+    held = items.collect()
+    kinds = [to_arrow_type(t) for t in (docs.schema["id"].dataType, items.schema["item"].dataType)] + [pa.int64()] * 4
+    shared = docs.sparkSession.sparkContext.broadcast(Index([(r.item, np.frombuffer(r.tokens, np.uint64)) for r in held]))
+
+    def scan(batches):
+        known, hasher = shared.value, TokenHasher()
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            got = [(ids[j], known.ids[k], m, len(known.tokens[k]), a, b) for j, t in enumerate(batch.column(1)) for k, (m, a, b) in known.matches(hasher(t.as_py())).items()]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), kinds, strict=True)], RESULT)
+
+    return docs.mapInArrow(scan, _schema(docs, items))
+
+
+RESULT = ["id", "item", "matched", "item_tokens", "first_token", "end_token"]
+
+
+def _schema(docs: DataFrame, items: DataFrame) -> str:
+    return f"id {docs.schema['id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in RESULT[2:])
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same by joins. A document is known by its id and its text's hash, an item by a number, as ids may be null or repeated."""
+    numbered = materialize(items.select(F.monotonically_increasing_id().alias("k"), "item", "tokens"), "items")
+    lengths = [r.n for r in numbered.select((F.octet_length("tokens") / 8).cast("int").alias("n")).where(F.col("n") < SHORT).distinct().collect()]  # under SHORT rows
+    widths = sorted({b - a for n in lengths for a, b in block_edges(n)})
+
+    def item_seeds(batches):
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = np.frombuffer(raw, np.uint64)
+                found = [(seeds(t, m), np.arange(max(0, len(t) - SPAN + 1))) for m in range(len(MASKS))]
+                if len(t) < SHORT:
+                    found += [(chain(t[a:b], b - a), np.array([a])) for a, b in block_edges(len(t))]
+                key, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.full(len(key), k)), pa.array(at), pa.array(np.full(len(key), len(t)))], ["key", "k", "at", "n"])
+
+    keyed = materialize(numbered.select("k", "tokens").mapInArrow(item_seeds, "key long, k long, at long, n long"), "item_seeds")
+    place = F.pmod(F.col("key"), F.lit(MAP_BITS))
+    marks = keyed.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("row")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(1 << 15))).alias("m"))
+    table_ = np.zeros((MAP_BITS >> 15, 1 << 12), np.uint8)
+    for r in marks.collect():  # MAP_BITS at most
+        table_[r.row] = np.frombuffer(r.m, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table_.ravel())
+
+    def doc_seeds(batches):
+        known, hasher = shared.value, TokenHasher()
+        for batch in batches:
+            found = [[np.zeros(0, np.int64)] * 3]
+            for j, text in enumerate(batch.column(2)):
+                t = hasher(text.as_py())
+                for key in [seeds(t, m) for m in range(len(MASKS))] + [chain(t, w) for w in widths]:
+                    bit = key.astype(np.int64) % MAP_BITS
+                    at = np.flatnonzero(known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    found.append([np.full(len(at), j), key[at].astype(np.int64), at])
+            row, key, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(key), pa.array(at)], ["id", "h", "key", "at"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    known = docs.select("id", F.xxhash64("text").alias("h"), "text")
+    hits = known.mapInArrow(doc_seeds, f"id {kind}, h long, key long, at long").join(keyed.withColumnRenamed("at", "place"), "key")
+    diagonals = hits.select("id", "h", "k", "n", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    per = diagonals.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("k", "n", "shift")).alias("wanted"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+
+    def stretches(batches):
+        hasher = TokenHasher()
+        for batch in batches:
+            row, out = [], []
+            for j, (text, wanted) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
+                t = hasher(text.as_py())
+                for w in wanted:
+                    low = max(0, w["shift"])
+                    row.append(j)
+                    out.append((w["k"], w["shift"], low, t[low : max(low, w["shift"] + w["n"])].tobytes()))
+            if out:
+                k, shift, low, part = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(k), pa.array(shift), pa.array(low), pa.array(part, pa.binary())], ["id", "h", "k", "shift", "low", "part"])
+
+    once = known.dropDuplicates(["id", "h"]).join(per, same).select("id", "h", "text", "wanted")
+    parts = once.mapInArrow(stretches, f"id {kind}, h long, k long, shift long, low long, part binary").join(numbered.select("k", "tokens"), "k")
+
+    def judge(batches):
+        for batch in batches:
+            row, out = [], []
+            for j, (shift, low, part, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shift", "low", "part", "tokens")), strict=True)):
+                item = np.frombuffer(raw, np.uint64)
+                got = verify(np.frombuffer(part, np.uint64), item, shift - low)
+                if got:
+                    row.append(j)
+                    out.append((got[0], len(item), got[1] + low, got[2] + low))
+            if out:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in ("id", "h", "k", "shift")], *[pa.array(x, pa.int64()) for x in zip(*out, strict=True)]], ["id", "h", "k", "shift", *RESULT[2:]])
+
+    judged = parts.select("id", "h", "k", "shift", "low", "part", "tokens").mapInArrow(judge, f"id {kind}, h long, k long, shift long, " + ", ".join(f"{c} long" for c in RESULT[2:]))
+    # of one item's diagonals the best counts, the first of equals
+    best = judged.groupBy("id", "h", "k").agg(F.max(F.struct("matched", -F.col("shift"), *RESULT[3:])).alias("b"))
+    named = best.join(numbered.select("k", "item"), "k").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "item", *[F.col(f"b.{c}").alias(c) for c in RESULT[2:]])
+    return known.select("id", "h").join(named, same).select(*RESULT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -183,29 +289,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Token numbers count the document's normalised words; the stretch is the best one. Null and empty texts and items
     match nothing; ids may be null; repeated rows each get their rows; other columns are ignored; empty tables give no rows.
+    A benchmark of over ``block_tokens`` tokens is joined by shuffle, with the same result.
     """
-    context = docs.sparkSession.sparkContext
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, item {item_kind}, matched long, item_tokens long, first_token long, end_token long"
-    kinds = [to_arrow_type(t) for t in (docs.schema[id_col].dataType, benchmark.schema[item_col].dataType)] + [pa.int64()] * 4
-    out = None
-    for index in blocks(benchmark, item_col, item_text, block_tokens):
-        shared = context.broadcast(index)
-
-        def scan(batches, shared=shared):
-            known, hasher = shared.value, TokenHasher()
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                got = [(ids[j], known.ids[k], m, len(known.tokens[k]), a, b) for j, t in enumerate(batch.column(1)) for k, (m, a, b) in known.matches(hasher(t.as_py())).items()]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), kinds, strict=True)], ["id", "item", "matched", "item_tokens", "first_token", "end_token"])
-
-        part = rows.mapInArrow(scan, schema)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "item_tokens", "first_token", "end_token")
+    items = _token_rows(benchmark, item_col, item_text)
+    size = items.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
+    out = _scanned(rows, items) if size <= block_tokens else _joined(rows, items)
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), *RESULT[2:])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

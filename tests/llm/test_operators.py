@@ -483,13 +483,17 @@ def test_decontaminate_against_all_diagonals(spark):
     docs += docs[:3] + [(None, docs[5][1]), (900, "w1 " * 30_000)]
     wanted = {(i, k) for i, t in docs[:-1] for k, item in enumerate(items) if hits_of_all_diagonals(t, item)}
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    ways = []
     for block in (1 << 20, 200):
-        rows = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench, block_tokens=block).collect()]
+        found = decontaminate.contaminated(df, bench, block_tokens=block).collect()
+        ways.append(sorted(map(str, found)))
+        rows = [(r.doc_id, r.item_id) for r in found]
         got = {x for x in rows if x[0] != 900}
         assert got <= wanted
         short = {x for x in wanted if len(items[x[1]].split()) < decontaminate.SHORT}
         assert short <= got and len(got) >= 0.9 * len(wanted) and len(short) > 200
         assert all(rows.count(x) == 2 for x in got if x[0] in (0, 1, 2))
+    assert ways[0] == ways[1]
 
 
 def test_every_operator_takes_clashing_columns(spark, docs):
