@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 ``documents``; run() applies them to the table, writing each stage's result as Parquet to the shared folder and reading it again.
+
+Documents of one id, a null one too, share a stage's decision. Null texts have no words, lines or shingles: they stay until the mixture, which takes
+documents of words only. Empty tables stay empty; other columns than those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -16,17 +19,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the score predicts to be toxic go. Labels of held-out documents are not learned from."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.learn(spark, docs, sf_dir)
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
 def without_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines stay where they (or, from 20 characters, lines two edits off) occur first; a document of which no line is left goes."""
+    docs = docs.select(*COLUMNS)
     return edit_join.without_copies(docs, edit_join.dedup_lines(docs, short=True)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 0.8 of their five-word shingles, directly or through others, the one of least id stays."""
+    docs = docs.select(*COLUMNS)
     groups = shingle_join.near_duplicates(docs, 5, 80, 100)
     leaders = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_k")).distinct()
     return docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*COLUMNS)
@@ -34,12 +40,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's text go."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_k")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture with what is taken of each: epochs (whole passes) and taken (words, passes counted)."""
+    docs = docs.select(*COLUMNS)
     rated = mixing.label_quality(docs, table(spark, sf_dir, "labels"))
     counted = rated.withColumn("_size", mixing.word_count(F.col("text")))
     shares = mixing.mix(counted, F.col("_size"), F.col("_quality")).where("taken > 0")
@@ -55,7 +63,7 @@ STAGES = [
     ("mixing", mixture),
 ]
 
-#: Classifier, shingle hashes and spaced seeds are beyond SQL; tests hold run() against a brute-force version.
+#: Classifier, edit distances, shingle hashes and spaced seeds are beyond SQL; the tests hold each stage against brute force, and run() against the stages.
 ORACLE_SQL = None
 
 
