@@ -252,7 +252,7 @@ def _email(text: Column, key: str) -> Column:
     return F.concat(permute_letters(F.substring_index(text, "@", 1), key, "email"), F.lit("@"), F.substring_index(text, "@", -1))
 
 
-def pseudonym(text: Column, key: str = KEY) -> Column:
+def pseudonym(text: Column, key: str) -> Column:
     """(kind, text) of a match; kind is null, and the text unchanged, if no format finds it valid."""
 
     def whole(kind: str) -> Column:

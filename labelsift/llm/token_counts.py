@@ -90,6 +90,17 @@ def allot(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarra
     return tokens, crossing
 
 
+def allot_any(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """allot for spans in any order that may overlap: each keeps what no span before it, by start and end, has."""
+    order = np.lexsort((high, low))
+    high = np.maximum(low, high)[order]
+    reach = np.concatenate([[0], np.maximum.accumulate(high)])[:-1]
+    low = np.maximum(low[order], reach)
+    tokens, crossing = np.zeros(len(order)), np.zeros(len(order), np.int64)
+    tokens[order], crossing[order] = allot(starts, ends, low, np.maximum(low, high), rule)
+    return tokens, crossing
+
+
 def line_sections(text: str) -> tuple[list[str], list[int], list[int]]:
     """Numbered lines; a line feed belongs to the line that it ends."""
     ends, at = [], 0
@@ -103,8 +114,8 @@ def line_sections(text: str) -> tuple[list[str], list[int], list[int]]:
 def section_tokens(docs: DataFrame, spans_col: str | None = None, rule: str = "start", id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(id, section, char_start, char_end, n_tokens, n_crossing, doc_tokens): one row per document and section.
 
-    Sections are lines, or ``spans_col``: an array of structs (name, start, end) of disjoint character ranges in order of start; ranges are
-    cut to the text, and empty ones get a row with 0 tokens. Tokens of no span count in doc_tokens only. n_tokens is a double, whole unless the rule is "share".
+    Sections are lines, or ``spans_col``: an array of structs (name, start, end) of character ranges in any order; ranges are
+    cut to the text, and empty ones get a row with 0 tokens. Characters that several ranges hold belong to the one that begins first, or of these ends first. Tokens of no span count in doc_tokens only. n_tokens is a double, whole unless the rule is "share".
     A null or empty text has one empty line; with a null array there are no rows. Repeated rows each get their rows; other columns are ignored;
     an empty table gives no rows. Texts of any length are encoded whole.
     """
@@ -147,7 +158,7 @@ def section_tokens(docs: DataFrame, spans_col: str | None = None, rule: str = "s
                     continue
                 starts, ends = token_spans(text, encoder)
                 low, high = np.array(low, np.int64), np.array(high, np.int64)
-                tokens, crossing = allot(starts, ends, low, np.maximum(low, high), rule)
+                tokens, crossing = allot_any(starts, ends, low, high, rule)
                 for c, v in zip(out, ([ids[j]] * len(names), names, low, high, tokens, crossing, [len(starts)] * len(names)), strict=True):
                     c.append(v) if isinstance(v, np.ndarray) else c.extend(v)
                 if len(out[0]) >= ROWS:
