@@ -30,11 +30,15 @@ def duplicates(*columns: str) -> Column:
 
 
 def dictionary(df: DataFrame, described: dict[str, str] | None = None, distinct: bool = True) -> DataFrame:
-    """(column, dtype, missing, n_unique, description) from one aggregate over all columns."""
-    described = described or {}
+    """(column, dtype, missing, n_unique, description) from one aggregate over all columns. If descriptions are given, every column needs one."""
+    known = described or {}
 
     def text(c: str) -> str:
-        return described.get(c) or next((d for s, d in SUFFIXES.items() if c.endswith(s)), "undocumented")
+        return known.get(c) or next((d for s, d in SUFFIXES.items() if c.endswith(s)), "undocumented")
+
+    bare = [c for c in df.columns if text(c) == "undocumented"] if described is not None else []
+    if bare:
+        raise ValueError(f"columns without a description: {', '.join(bare)}")
 
     # one aggregate; with many columns, distinct counts of each expand the rows by as many
     aggs = [F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
