@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import inspect
+import itertools
 import math
 import random
 import zlib
@@ -186,6 +187,34 @@ def test_toxicity(spark):
     assert toxicity.score(df, toxicity.fit(df, labels.limit(0))).where("predicted = 1").count() == 0
 
 
+def test_decoding_against_all_paths():
+    """The cheapest of all readings of a lattice, each priced by itself, under random character models."""
+    rng = random.Random(12)
+    for _ in range(60):
+        counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+        for _ in range(400):
+            counts[rng.randrange(len(counts))] += rng.randrange(50)
+        model = toxicity.CharModel(counts)
+        token = "".join(rng.choice("abeilost01357@$!|+.é") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 5)))
+        apart = rng.random() < 0.3
+        lattice = toxicity.positions(token, apart)
+        if math.prod(map(len, lattice)) > 20_000:
+            continue
+        prices = {}
+        for path in itertools.product(*lattice):
+            a = b = toxicity.GAP
+            total, read = 0.0, ""
+            for letter, channel in path:
+                total += channel
+                if letter and not (letter == " " and b == toxicity.GAP):
+                    c = int(toxicity.symbols(letter)[0])
+                    total += float(model.cost[a, b, c])
+                    a, b, read = b, c, read + letter
+            total += float(model.cost[a, b, toxicity.GAP]) if b != toxicity.GAP else 0.0
+            prices[read] = min(total, prices.get(read, math.inf))
+        assert prices[toxicity.viterbi(model, lattice)] == pytest.approx(min(prices.values()), abs=1e-4), token
+
+
 def shingles(t, k):
     w = lower(t).split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
