@@ -127,6 +127,51 @@ def test_lm_scores(spark, docs):
     assert subword_lattice.score_texts(df.limit(0), F.lit(False)).count() == 0
 
 
+def test_lm_score_by_definition(spark):
+    """The whole score with classes, worked out for each text from counts, piece probabilities and gamma functions."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(["the", "that", "hat", "über", "zzq", "a"]) for _ in range(rng.randint(0, 12))), ("de", "en", None)[i % 3]) for i in range(24)]
+    rows += [(30, "the " * 400, "en"), (33, "unseen wörds the the", "fr"), (34, None, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    urn, train = 50.0, [r for r in rows if r[0] % 4 != 1]
+    kinds = sorted({k for _, _, k in train}, key=lambda k: (-sum(r[2] == k for r in train), k is not None, k or ""))
+    pieces = subword_lattice.load_pieces()
+    lattice = subword_lattice.Lattice(pieces)
+    start = lattice.start(pieces)
+    counts = {k: collections.Counter(w for _, t, x in train if x == k for w in lower(t).split()) for k in kinds}
+    uses, logp = {}, {}
+    for k in kinds:
+        now = start
+        for _ in range(2):
+            uses[k] = lattice.expected(list(counts[k]), np.ones(len(counts[k])), now)
+            now = subword_lattice.Lattice.fit(np.exp(start) + uses[k], pieces)
+        logp[k] = now
+    pooled = subword_lattice.Lattice.fit(np.exp(start) + sum(uses.values()), pieces)
+    ends = sum(len(lower(t).split()) for _, t, _ in train) + len(train)
+    p_end = (len(train) + 1) / (ends + 2)
+
+    def word_probability(k, w):
+        c, size = counts[k], sum(counts[k].values())
+        one, two = (sum(n == x for n in c.values()) for x in (1, 2))
+        d = min(max(one / (one + 2 * two) if one else 0.5, 0.1), 0.9)
+        return max(c[w] - d, 0) / size + d * len(c) / size * math.exp(lattice.log_marginal([w], logp[k])[0, 0])
+
+    got = {r.doc_id: r for r in subword_lattice.score_texts(df, F.pmod("doc_id", F.lit(4)) == 1, class_col="lang", frequent=3, urn=urn).collect()}
+    for i, t, _ in rows:
+        words = collections.Counter(lower(t).split())
+        n = sum(words.values())
+        end = math.log(p_end) + n * math.log(1 - p_end)
+        each = []
+        for k in kinds:
+            share = sum(r[2] == k for r in train) / len(train)
+            drawn = sum(math.lgamma(urn * word_probability(k, w) + c) - math.lgamma(urn * word_probability(k, w)) for w, c in words.items())
+            each.append(math.log(share) + end + math.lgamma(urn) - math.lgamma(urn + n) + drawn)
+        most = max(each)
+        assert got[i].score == pytest.approx((most + math.log(sum(math.exp(x - most) for x in each))) / math.log(10), rel=1e-6), i
+        alone = end + sum(c * lattice.log_marginal([w], pooled)[0, 0] for w, c in words.items())
+        assert got[i].lattice_score == pytest.approx(alone / math.log(10), rel=1e-6)
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     sides = {"aa": "tha on er st".split(), "bb": "qui lo va né".split()}
