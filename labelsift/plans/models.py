@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from labelsift.functions import text
 from labelsift.functions.numeric import threshold_flag
 from labelsift.operators import charts, classify, cluster, features, rules, sampling, som, stats
-from labelsift.plans.analytics import LABELLED, NUMERIC, VOTED, baskets, labelled, profile_vectors, ready, small_map, vectors, voted
+from labelsift.plans import profiles
+from labelsift.plans.analytics import CLEAN, LABELLED, NUMERIC, RAW_COLOUR, VOTED, baskets, labelled, profile_vectors, raw_colour, ready, small_map, vectors, voted
 from labelsift.sources.tables import table
 
 c, lit = F.col, F.lit
@@ -32,6 +33,70 @@ def _(s, d):
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", threshold_flag(c("l_discount") * 20).alias("flag"))
 
 
+# --- entry point A: judgements made of orders, an account a customer
+
+JUDGED = f"""SELECT o_orderkey AS unit_id, 'u' || o_custkey AS name, strftime(TIMESTAMP '1990-01-01 03:20:00' + INTERVAL (o_custkey % 700) DAY, '%-m/%-d/%y %-H:%M') AS created,
+  TIMESTAMP '1990-01-01 03:20:00' + INTERVAL (o_custkey % 700) DAY AS born, date_trunc('minute', o_orderdate) AS seen, ['female', 'male', 'brand', 'unknown', NULL][o_orderkey % 5 + 1] AS gender,
+  (o_orderkey % 4) / 4.0::DOUBLE AS gender_confidence, o_orderkey % 1000 AS fav_number, o_orderkey % 3 AS retweet_count, (o_custkey * 7 + o_orderkey) % 5000 AS tweet_count,
+  {RAW_COLOUR} AS link_color, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE 'likes @' || o_orderstatus || ' and #x ' || o_orderpriority END AS description,
+  'see WEBhttp://x.y/' || o_orderkey AS tweet FROM orders WHERE o_orderkey % 20 <> 0"""
+
+PREPARED = f"""SELECT *, name || '|' || created AS account_id, CASE gender WHEN 'female' THEN 1 WHEN 'male' THEN 1 WHEN 'brand' THEN 0 END AS is_human,
+  floor((epoch(seen) - epoch(born)) / 86400)::BIGINT AS account_age_days FROM ({JUDGED})"""
+
+COLOUR_STATUS = "(SELECT CASE WHEN s = '0' THEN 'zero_suspect' WHEN nullif(regexp_extract(s, '^([0-9])\\.([0-9]{2})E\\+([0-9]{2})$', 3), '')::INT >= 2 THEN 'sci_repaired' WHEN regexp_full_match(s, '[0-9A-F]{6}') THEN 'ok' WHEN regexp_full_match(s, '[0-9A-F]{1,5}') THEN 'padded' ELSE 'invalid' END FROM (SELECT upper(trim(coalesce(link_color, 'nan'))) AS s))"
+
+#: Columns of the prepared tables that the queries show.
+SHOWN = ["unit_id", "account_id", "gender", "is_human", "label_known", "account_age_days", "fav_number", "retweet_count", "tweet_count", "has_retweets", "link_color_status", "description_clean", "has_description", "description_len", "description_n_mentions", "tweet_n_urls"]
+RATES = ["tweets_per_day", "favs_per_day", "log_tweet_count", "log_account_age_days"]
+
+DERIVED_SQL = f"""unit_id, account_id, gender, is_human, (is_human IS NOT NULL)::INT AS label_known, account_age_days, fav_number, retweet_count, tweet_count, (retweet_count > 0)::INT AS has_retweets,
+  {COLOUR_STATUS} AS link_color_status, (SELECT {CLEAN} FROM (SELECT coalesce(description, '') AS t)) AS description_clean, (trim(coalesce(description, '')) <> '')::INT AS has_description,
+  length((SELECT {CLEAN} FROM (SELECT coalesce(description, '') AS t)))::BIGINT AS description_len, len(regexp_extract_all(coalesce(description, ''), '(?:^|[^0-9A-Za-z_])@[0-9A-Za-z_]+'))::BIGINT AS description_n_mentions,
+  1::BIGINT AS tweet_n_urls, round(tweet_count / greatest(account_age_days, 1), 6) AS tweets_per_day, round(fav_number / greatest(account_age_days, 1), 6) AS favs_per_day,
+  round(ln(1 + tweet_count), 6) AS log_tweet_count, round(ln(1 + greatest(account_age_days, 0)), 6) AS log_account_age_days"""
+
+
+def judged(s, d) -> DataFrame:
+    k, customer = c("o_orderkey"), c("o_custkey")
+    form = "M/d/yy H:mm"
+    born = F.date_add(lit("1990-01-01").cast("date"), (customer % 700).cast("int")).cast("timestamp_ntz") + F.expr("INTERVAL '3:20' HOUR TO MINUTE")
+    genders = F.array(*[lit(x) for x in ("female", "male", "brand", "unknown")], lit(None).cast("string"))
+    about = F.when(k % 6 == 1, "   ").when(k % 6 > 1, F.concat(lit("likes @"), "o_orderstatus", lit(" and #x "), "o_orderpriority"))
+    return table(s, d, "orders").select(
+        k.alias("_row_id"), k.alias("_unit_id"), F.concat(lit("u"), customer.cast("string")).alias("name"), F.date_format(born, form).alias("created"), F.date_format("o_orderdate", form).alias("tweet_created"),
+        F.when(k % 20 == 0, "no").otherwise("yes").alias("profile_yn"), F.get(genders, (k % 5).cast("int")).alias("gender"), ((k % 4) / lit(4.0)).alias("gender:confidence"),
+        (k % 1000).alias("fav_number"), (k % 3).alias("retweet_count"), ((customer * 7 + k) % 5000).alias("tweet_count"), raw_colour().alias("link_color"), lit("C0DEED").alias("sidebar_color"),
+        about.alias("description"), F.concat(lit("see WEBhttp://x.y/"), k.cast("string")).alias("text"),
+    )
+
+
+@query(
+    "prep_profiles",
+    f"""WITH p AS ({PREPARED}) SELECT {DERIVED_SQL}, count(*) OVER w AS n_rows_for_account, coalesce((min(is_human) OVER w <> max(is_human) OVER w)::INT, 0) AS label_conflict_human_brand,
+    coalesce((min(gender) OVER w <> max(gender) OVER w)::INT, 0) AS label_conflict_gender FROM p WINDOW w AS (PARTITION BY account_id)""",
+)
+def _(s, d):
+    out = profiles.prepare(judged(s, d))
+    return out.select(*SHOWN, *[F.round(x, 6).alias(x) for x in RATES], "n_rows_for_account", "label_conflict_human_brand", "label_conflict_gender")
+
+
+@query(
+    "prep_accounts",
+    f"""WITH p AS ({PREPARED}), g AS (SELECT account_id, max(fav_number) AS fav_number, max(retweet_count) AS retweet_count, max(tweet_count) AS tweet_count FROM p GROUP BY 1),
+    b AS (SELECT * EXCLUDE (fav_number, retweet_count, tweet_count) FROM p QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY gender_confidence DESC NULLS LAST, unit_id) = 1),
+    a AS (SELECT * FROM b JOIN g USING (account_id)) SELECT {DERIVED_SQL} FROM a""",
+)
+def _(s, d):
+    return profiles.accounts(profiles.prepare(judged(s, d))).select(*SHOWN, *[F.round(x, 6).alias(x) for x in RATES])
+
+
+@query("prep_checks", "SELECT unnest(['unit_id unique', 'confidence within 0 and 1', 'age not negative', 'colour codes well formed', 'usable agrees with code', 'clean text has no link, no corrupted run', 'label known agrees with is_human', 'counts not negative', 'account_id unique']) AS check_name, true AS ok")
+def _(s, d):
+    prepared = profiles.prepare(judged(s, d))
+    return profiles.assertions(prepared, profiles.accounts(prepared))
+
+
 # --- agreement and contrasts
 
 PAIRS = [("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "half"), ("o_orderpriority", "half")]
@@ -61,8 +126,8 @@ def _(s, d):
     SELECT round(2 * h, 6) AS chi2, 8::BIGINT AS dof, round(exp(-h) * (1 + h + h ^ 2 / 2 + h ^ 3 / 6), 9) AS p FROM x""",
 )
 def _(s, d):
-    out = stats.chi_square(table(s, d, "orders"), "o_orderstatus", "o_orderpriority")
-    return out.select(F.round("chi2", 6).alias("chi2"), "dof", F.round(stats.chi_square_p(c("chi2"), c("dof")), 9).alias("p"))
+    out = stats.chi_square(table(s, d, "orders"), "o_orderstatus", "o_orderpriority").withColumn("p", stats.chi_square_p(c("chi2"), c("dof")))
+    return out.select(F.round("chi2", 6).alias("chi2"), "dof", F.round("p", 9).alias("p"))
 
 
 @query(
