@@ -43,8 +43,9 @@ def renumber(df: DataFrame, cluster: str, score: str) -> DataFrame:
     return df.join(F.broadcast(order.drop("_s")), cluster).drop(cluster).withColumnRenamed("_n", cluster)
 
 
-def sweep(df: DataFrame, vector: str, ks: range, label: str | None = None, restarts: int = RESTARTS) -> list[dict]:
-    """One row of diagnostics for each k: within sum, share between, drop, smallest cluster, least centre distance, agreement with a label."""
+def sweep(df: DataFrame, vector: str, ks: range, label: str | None = None, restarts: int = RESTARTS, key: str | None = None) -> list[dict]:
+    """One row of diagnostics for each k: within sum, share between, drop, smallest cluster, least centre distance, agreement with a label, and
+    with a key the silhouette."""
     centre = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col(vector)[i]) for i in range(len(df.first()[vector]))]).alias("c"))
     n, c = centre.first()
     total = df.crossJoin(F.broadcast(centre.select("c"))).agg(F.sum(euclidean(F.col(vector), F.col("c")) ** 2.0)).first()[0]
@@ -57,6 +58,7 @@ def sweep(df: DataFrame, vector: str, ks: range, label: str | None = None, resta
             "k": k, "wss": wss, "bss_over_tss": 1 - wss / total, "smallest_cluster_pct": 100.0 * min(sizes) / n, "min_centroid_distance": min(gaps),
             "ari_vs_label": adjusted_rand(done.where(F.col(label).isNotNull()), "cluster", label).first()[0] if label else None,
             "wss_drop_pct": 100.0 * (out[-1]["wss"] - wss) / out[-1]["wss"] if out else None,
+            "silhouette": silhouette(done, key, vector, "cluster").first()[0] if key else None,
         })
     return out
 

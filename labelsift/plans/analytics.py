@@ -328,8 +328,9 @@ def _(s, d):
 
 @query("ml_kmeans_sweep")
 def _(s, d):
-    rows = cluster.sweep(vectors(s, d), "v", range(2, 5), "label", restarts=2)
-    return s.createDataFrame([(r["k"], r["wss"], r["bss_over_tss"], r["smallest_cluster_pct"], r["min_centroid_distance"], r["ari_vs_label"], r["wss_drop_pct"]) for r in rows], "k int, wss double, bss_over_tss double, smallest_cluster_pct double, min_centroid_distance double, ari_vs_label double, wss_drop_pct double")
+    rows = cluster.sweep(vectors(s, d), "v", range(2, 5), "label", restarts=2, key="vec_id")
+    measures = ["wss", "bss_over_tss", "silhouette", "smallest_cluster_pct", "min_centroid_distance", "ari_vs_label", "wss_drop_pct"]
+    return s.createDataFrame([(r["k"], *[r[x] for x in measures]) for r in rows], "k int, " + ", ".join(f"{x} double" for x in measures))
 
 
 @query(
@@ -461,8 +462,7 @@ def _(s, d):
 @query("ml_nb")
 def _(s, d):
     rows = profile_vectors(s, d)
-    words = F.slice(classify.tokens(c("text")), 1, 1 << 30)
-    with_terms, _ = classify.vectors(classify.tfidf(rows, "doc_id", words), "doc_id", rows)
+    with_terms, _ = classify.vectors(classify.tfidf(rows, "doc_id", classify.tokens(c("text"))), "doc_id", rows)
     return classify.probability(classify.naive_bayes(with_terms, "quality"), with_terms, "p").select("doc_id", "quality", "p")
 
 

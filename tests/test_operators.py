@@ -331,3 +331,29 @@ def test_ranks_scores_and_groups_against_plain_python(spark):
     for r in entity.leave_one_out(df, "g", F.col("y") == 1, F.col("score") > 5).collect():
         others = [(s, y) for _, x, s, y in rows if x == r.g]
         assert r.others_n == sum(s > 5 for s, _ in others) - (r.score > 5) and r.others_hits == sum(s > 5 and y for s, y in others) - (r.score > 5 and r.y)
+
+
+def test_kmeans_and_its_diagnostics(spark):
+    """Four far groups are found whole; every figure of the sweep is worked out again from the assignment."""
+    rng = np.random.default_rng(11)
+    middles = np.array([[0, 0], [50, 0], [0, 50], [60, 60]], float)
+    x = np.concatenate([m + rng.normal(size=(n, 2)) for m, n in zip(middles, (30, 40, 50, 60))])
+    own = np.repeat(range(4), (30, 40, 50, 60))
+    df = spark.createDataFrame([(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, own))], "id int, v array<double>, g int")
+    done, wss, centres = cluster.kmeans(df, "v", 4, restarts=3)
+    got = np.array([r.cluster for r in done.orderBy("id").collect()])
+    assert all(len(set(got[own == g])) == 1 for g in range(4)) and len(set(got)) == 4
+    assert np.isclose(wss, sum(((x[own == g] - x[own == g].mean(0)) ** 2).sum() for g in range(4)))
+    assert np.allclose(sorted(c[0] + 2 * c[1] for c in centres), sorted((x[own == g].mean(0) @ [1, 2]) for g in range(4)))
+    rows = cluster.sweep(df, "v", range(3, 5), "g", restarts=3, key="id")
+    total = ((x - x.mean(0)) ** 2).sum()
+    assert np.isclose(rows[1]["bss_over_tss"], 1 - wss / total) and np.isclose(rows[1]["wss_drop_pct"], 100 * (1 - wss / rows[0]["wss"]))
+    assert np.isclose(rows[1]["smallest_cluster_pct"], 100 * 30 / 180) and rows[1]["ari_vs_label"] == 1 and rows[0]["ari_vs_label"] < 1
+    gaps = np.linalg.norm(x[:, None] - x[None], axis=-1)
+    widths = []
+    for i in range(len(x)):
+        mean = [gaps[i, (own == g) & (np.arange(len(x)) != i)].mean() for g in range(4)]
+        a, b = mean[own[i]], min(m for g, m in enumerate(mean) if g != own[i])
+        widths.append((b - a) / max(a, b))
+    assert np.isclose(rows[1]["silhouette"], np.mean(widths))
+    assert cluster.stability(df, "id", "v", 4, seeds=[1, 2], restarts=3) == [1.0, 1.0]
