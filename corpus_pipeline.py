@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labelsift.llm import decontaminate, edit_join, mixing, shingle_join, toxicity
 from labelsift.llm.common import discard, materialize, table
 
+#: Ids up to which they are broadcast (8 bytes each).
+BROADCAST_IDS = 1 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -30,27 +32,33 @@ def without_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return edit_join.without_copies(docs, edit_join.dedup_lines(docs, short=True)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the ids (_k) of ``gone``. Up to BROADCAST_IDS of them are sent to the documents; beyond, both are shuffled."""
+    gone = materialize(gone, name)
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti").select(*COLUMNS)
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 0.8 of their five-word shingles, directly or through others, the one of least id stays."""
     docs = docs.select(*COLUMNS)
     groups = shingle_join.near_duplicates(docs, 5, 80, 100)
-    leaders = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*COLUMNS)
+    leads = F.bool_or(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    return without(docs, groups.groupBy(F.col("doc_id").alias("_k")).agg(leads.alias("leads")).where("NOT leads").select("_k"), "near_copies")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's text go."""
     docs = docs.select(*COLUMNS)
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti").select(*COLUMNS)
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, leaks.select(F.col("doc_id").alias("_k")).distinct(), "leaks")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture with what is taken of each: epochs (whole passes) and taken (words, passes counted)."""
     docs = docs.select(*COLUMNS)
-    rated = mixing.label_quality(docs, table(spark, sf_dir, "labels"))
-    counted = rated.withColumn("_size", mixing.word_count(F.col("text")))
-    shares = mixing.mix(counted, F.col("_size"), F.col("_quality")).where("taken > 0")
+    counted = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("_size"))
+    shares = mixing.mix(mixing.label_quality(counted, table(spark, sf_dir, "labels")), F.col("_size"), F.col("_quality")).where("taken > 0")
     shares = shares.select(F.col("doc_id").alias("_k"), "size", "target", "taken", F.ceil(F.col("taken") / F.col("size")).cast("long").alias("epochs")).dropDuplicates(["_k"])
     return docs.join(shares, F.col("doc_id").eqNullSafe(F.col("_k"))).select(*COLUMNS, "size", "target", "taken", "epochs")
 
