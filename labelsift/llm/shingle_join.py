@@ -9,7 +9,7 @@ s - ceil(2 t s / (1 + t)) + 1 of the smaller one: a pair counts only where the s
 
 Sets, not documents, are joined: copies are one node. Only sizes, bitmaps and the first prefix are written down; the sets themselves are made again
 from the documents for those nodes whose pairs the bitmaps leave open. Keys that hold the same nodes are one key. A key that holds more than GROUP nodes isn't
-paired off. Keys of one central node, the hub, become one group. It is split by size first, each node going to its own range of sizes and the next, as sizes of linked sets differ little. In
+paired off. It is split by size first, each node going to its own range of sizes and the next, as sizes of linked sets differ little. In
 what still is too large, all are compared with one hub, and keys with one hub become one group. Nodes linked to the hub are connected already; others
 meet the group's nodes, by sizes and 128-bit bitmaps up to MIDDLE of them and else as bitmaps of one to two bits a shingle, in numpy, BLOCK of
 them at a time, and only pairs that the bitmaps leave open go on.
@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelsift.llm.common import arrow_batches, discard, materialize, scratch, table
 from labelsift.llm.graph import components, spread_lookup
 
-#: Nodes of a key up to which they are compared pair by pair, by sizes and bitmaps first. Pairs carry their sets: beyond, a hub needs fewer.
-GROUP = 8
+#: Nodes of a key up to which they are compared pair by pair, by sizes and bitmaps first.
+GROUP = 64
 #: Counters of the frequency sketch; its size doesn't grow with the data.
 COUNTERS = 1 << 22
 SLICE = 1 << 16
@@ -327,11 +327,11 @@ def verify(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], pairs: Data
         close = materialize(sift(both, num, den), "sifted")
     discard(pairs)
     with arrow_batches(sets.sparkSession, 200):
-        full = materialize(whole(_nodes_of(close)).select("node", F.struct("n", "grams", "others").alias("s")), "whole")
+        # already dealt by node: both joins use the one shuffle of the sets
+        full = whole(_nodes_of(close)).select("node", F.struct("n", "grams", "others").alias("s"))
         both = close.join(full.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(full.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
         found = materialize(judge(both, num, den, orders), "links")
     discard(close)
-    discard(full)
     return found
 
 
@@ -433,10 +433,9 @@ def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, de
     discard(shared)
     own = ["node", "n", "bits_a", "bits_b"]
     first = _pairs(active.where(F.col("size") <= group), num, den)
-    central = active.where(F.col("size") > group).groupBy(F.col("hub").alias("key"), "node").agg(*[F.first(c).alias(c) for c in ("degree", *own[1:])])
     # sizes n and m of linked sets have m >= t n: they lie in one range of the logarithm to base 1/t, or in neighbouring ones
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) or 1e-12) - 1e-9)
-    ranged = central.select(F.explode(F.array(step, step + 1)).alias("step"), "key", "degree", *own)
+    ranged = active.where(F.col("size") > group).select(F.explode(F.array(step, step + 1)).alias("step"), "key", "degree", *own)
     ranged = materialize(_with_size(ranged.select(F.xxhash64("key", "step").alias("key"), "degree", *own)), "ranges")
     second = _pairs(ranged.where(F.col("size") <= group), num, den)
     hot = materialize(ranged.where(F.col("size") > group).select("hub", *own).distinct(), "hot")
