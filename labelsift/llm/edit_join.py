@@ -11,7 +11,8 @@ bitmap may know are written.
 
 Lines that share a key are joined by 64 marks of their letter pairs first, of which an edit flips four at most; only pairs that these
 leave open are handed on. An index key with more than GROUP lines isn't paired off: its lines are compared with one hub, lines within THRESHOLD of it
-are connected already, and only the others meet the group. A group over BLOCK is keyed anew by pieces of 256 marks: of 4 * THRESHOLD + 1
+are connected already, and only the others meet the group. The links among a hub's lines are counted by each line over arrays of
+the others, without a row a pair. A group over BLOCK is keyed anew by pieces of 256 marks: of 4 * THRESHOLD + 1
 pieces, linked lines have one alike. What still is over BLOCK then meets in blocks of that size. All of this is exact.
 
 Lines under SHORTEST characters, of which two edits would change much, are grouped by equality only.
@@ -265,8 +266,32 @@ def _linked(pairs: DataFrame, text: DataFrame, k: int) -> DataFrame:
     return both.where(holds_pieces(F.col("line_a"), F.col("line_b"), k)).where(within(F.col("line_a"), F.col("line_b"), k)).select("a", "b")
 
 
-def line_links(lines: Callable[[DataFrame | None], DataFrame], index: DataFrame, probes: DataFrame, k: int = THRESHOLD, group: int = GROUP, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: links of nodes that connect all lines that lines within k edits connect. Repeated lines do no harm.
+def _passed_over(stars: DataFrame, edges: DataFrame, text: DataFrame, k: int, block: int) -> DataFrame:
+    """(node, links): how many lines within k edits a node of ``stars`` (hub, node) has that are linked to a hub of its own and not in ``edges``.
+
+    A star's lines are gathered in arrays of about ``block``, which each of them runs over: rows grow with the lines, not with their pairs. A
+    pair of several stars counts in that of their least hub.
+    """
+    sides = edges.select("a", "b").union(edges.select("b", "a")).join(stars.select("node").distinct(), F.col("a") == F.col("node"), "left_semi")
+    counted = sides.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("counted"))
+    hubs = stars.groupBy("node").agg(F.collect_list("hub").alias("hubs"))
+    facts = hubs.join(text.select("node", "line", "marks"), "node")
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    rows = stars.join(sizes, "hub").join(facts, "node")
+    parts = rows.groupBy("hub", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("node", "hubs", "line", "marks")).alias("others"))
+    met = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(parts, ["hub", "part"]).join(counted, "node")
+
+    def linked(o: Column) -> Column:
+        near = (o["node"] != F.col("node")) & (F.bit_count(o["marks"].bitwiseXOR(F.col("marks"))) <= 4 * k)
+        here = F.array_min(F.array_intersect(o["hubs"], F.col("hubs"))) == F.col("hub")
+        return near & here & holds_pieces(F.col("line"), o["line"], k) & within(F.col("line"), o["line"], k) & ~F.array_contains("counted", o["node"])
+
+    return met.select("node", F.size(F.filter("others", linked)).alias("n")).groupBy("node").agg(F.sum("n").alias("links")).where("links > 0")
+
+
+def line_links(lines: Callable[[DataFrame | None], DataFrame], index: DataFrame, probes: DataFrame, k: int = THRESHOLD, group: int = GROUP, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b), a < b: links of nodes that connect all lines that lines within k edits connect; and (node, links): how many links a node has
+    besides, between lines that a hub connects already. Repeated lines do no harm.
 
     ``index`` has (node, key, segment, id) of the lines' own segments, ``probes`` (node, key) of what they look up; ``lines`` gives (node,
     line) of the documents whose ids it is given as _h.
@@ -279,7 +304,7 @@ def line_links(lines: Callable[[DataFrame | None], DataFrame], index: DataFrame,
     hot = active.where(F.col("size") > group)
     pairs = _open_pairs(active.where(F.col("size") <= group), text, k)
     if hot.isEmpty():
-        return _linked(pairs.distinct(), text, k)
+        return materialize(_linked(pairs.distinct(), text, k), "edges"), None
     spokes = hot.where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near = materialize(_linked(spokes, text, k), "hubs")
     done = near.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(near.select("b", "a")).withColumn("done", F.lit(True))
@@ -290,12 +315,14 @@ def line_links(lines: Callable[[DataFrame | None], DataFrame], index: DataFrame,
         pieces = materialize(_sized(split_by_pieces(large, text, k)), "pieces")
         pairs = pairs.union(_open_pairs(pieces.where(F.col("size") <= block), text, k))
         pairs = pairs.union(_open_pairs(in_blocks(pieces.where(F.col("size") > block).drop("hub"), block), text, k))
-    return near.union(_linked(pairs.distinct(), text, k)).distinct()
+    edges = materialize(near.union(_linked(pairs.distinct(), text, k)).distinct(), "edges")
+    stars = hot.where(F.col("node") != F.col("hub")).select("node", "hub").distinct().join(done, ["node", "hub"], "left_semi")
+    return edges, materialize(_passed_over(stars, edges, text, k, block), "passed_over")
 
 
 def dedup_lines(docs: DataFrame, k: int = THRESHOLD, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, block: int = BLOCK, short: bool = False) -> DataFrame:
     """One row per line of ``shortest`` characters or more, with ``short`` per line that isn't blank: the id, line_no, first_id and first_line (the first occurrence of its
-    class, by id and number), class_size (occurrences), links (different lines within k edits, as far as the class needed them) and kept.
+    class, by id and number), class_size (occurrences), links (all different lines within k edits) and kept.
 
     A class is what links within k edits connect; its first occurrence is kept. Lines under ``shortest`` form a class with equal lines only,
     and those without a letter or digit are kept everywhere. Lines are split at line feeds and trimmed. Null
@@ -317,11 +344,13 @@ def dedup_lines(docs: DataFrame, k: int = THRESHOLD, shortest: int = SHORTEST, i
         first = F.col("segment") <= 1
         index = materialize(cut.select(*[F.when(first, F.col(c)).alias(c) for c in ("id", "line_no")], "node", (first & F.col("stays")).alias("stays"), "key", "segment"), "lines")
         probes = known_probes(segment_keys(every.where("line IS NOT NULL"), probed_segments(k), k), index.where("key IS NOT NULL"))
-        edges = materialize(line_links(lines, index, materialize(probes.select("node", "key"), "probes"), k, group, block), "edges")
-        kept += [index, edges]
+        edges, besides = line_links(lines, index, materialize(probes.select("node", "key"), "probes"), k, group, block)
+        kept += [index, edges, *([] if besides is None else [besides])]
     occurrences = index.where("segment <= 1").select("id", "line_no", "node", "stays")
     nodes = occurrences.groupBy("node").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("size"))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    if besides is not None:
+        degree = degree.union(besides).groupBy("node").agg(F.sum("links").alias("links"))
     reach = components(edges, "classes").join(nodes, "node")
     classes = reach.groupBy("component").agg(F.min("first").alias("first"), F.sum("size").alias("size"))
     joined = reach.select("node", "component").join(classes, "component").join(degree, "node", "left").select("node", "first", "size", "links")

@@ -382,6 +382,28 @@ def test_line_dedup(spark, group, block):
     assert edit_join.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group,block", [(24, 2048), (2, 2048), (2, 3)])
+def test_line_dedup_counts_all_links(spark, group, block):
+    """Links of lines that a hub connects already count too: against all pairs."""
+    rng = random.Random(5)
+    lines = []
+    for base in (prose(rng, 30)[:50], prose(rng, 30)[:41]):
+        lines.append(base)
+        for _ in range(25):
+            line = list(base)
+            for _ in range(rng.choice([1, 1, 2])):
+                i = rng.randrange(6 if rng.random() < 0.5 else len(line))
+                line[i : i + 1] = rng.choice(["", "z", "qé"])
+            lines.append("".join(line))
+    lines = [x.strip() for x in lines]
+    links = {x: sum(x != y and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in set(lines)) for x in lines}
+    rows = [(i, "\n".join(lines[i : i + 4])) for i in range(0, len(lines), 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = edit_join.dedup_lines(df, group=group, block=block).collect()
+    assert len(got) == len(lines)
+    assert {(r.doc_id, r.line_no): r.links for r in got} == {(i - i % 4, i % 4): links[x] for i, x in enumerate(lines)}
+
+
 def test_line_dedup_short_lines(spark, monkeypatch):
     long = "a line that is long enough for edits"
     rows = [(1, f"Erheed. Titionly.\n{long}\n\n  Erheed. Titionly. \n}}\nÉté"), (2, f"By To.\nErheed. Titionly.\nErheed. Titionlx.\n{long}z\n}}\nÉté\n"), (3, "By To.\nBy To."), (None, "Nt onor. The of it."), (4, "Nt onor. The of it."), (5, None)]
