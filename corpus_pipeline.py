@@ -12,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelsift.llm import decontaminate, edit_join, mixing, shingle_join, toxicity
-from labelsift.llm.common import discard, materialize, table
+from labelsift.llm.common import FILTER_BITS, discard, few, known_probes, materialize, table
 
-#: Ids up to which they are broadcast (8 bytes each).
-BROADCAST_IDS = 1 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,10 +31,14 @@ def without_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the ids (_k) of ``gone``. Up to BROADCAST_IDS of them are sent to the documents; beyond, both are shuffled."""
-    gone = materialize(gone, name)
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti").select(*COLUMNS)
+    """``docs`` without the ids (_k) of ``gone``. Few of them are sent to the documents; of many a bitmap is, which tells the documents that surely stay, and the others
+    are shuffled to meet the ids."""
+    gone, same = materialize(gone, name), F.col("doc_id").eqNullSafe(F.col("_k"))
+    if few(gone):
+        return docs.join(F.broadcast(gone), same, "left_anti").select(*COLUMNS)
+    keyed, keys = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("key")), gone.select(F.xxhash64("_k").alias("key"))
+    stay = known_probes(keyed, keys, FILTER_BITS, False)
+    return stay.union(known_probes(keyed, keys, FILTER_BITS).join(gone, same, "left_anti")).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

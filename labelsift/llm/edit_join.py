@@ -24,7 +24,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from labelsift.llm.common import materialize, scratch, table
+from labelsift.llm.common import few, held, known_probes, materialize, scratch, table
 from labelsift.llm.graph import components, spread_lookup
 
 THRESHOLD = 2
@@ -39,10 +39,6 @@ BLOCK = 2048
 MARK_WORDS = 4
 #: Pieces of a line that a candidate must hold, all but THRESHOLD of them.
 PIECES = 8
-#: Ids up to which a filter of them is broadcast (8 bytes each); beyond, it is joined by shuffle.
-BROADCAST_IDS = 1 << 20
-#: Bits of the map of indexed keys: 32 MB.
-BITMAP_BITS = 1 << 28
 WHITE = " \t\r\x0b\x0c"
 
 
@@ -95,27 +91,6 @@ def segment_keys(lines: DataFrame, cases: list[tuple[int, int, int]], k: int = T
     return cut.where("i = 0 OR (_at >= 0 AND _at + _length <= _n)").select(*keep, key.alias("key"), F.col("i").alias("segment"))
 
 
-def known_probes(probes: DataFrame, index: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """Probes (node, key, ...) without those whose key no line is indexed under, as far as a bitmap of fixed size can tell.
-
-    The bitmap marks the index keys modulo ``bits``; it is sent to the tasks in rows of 4 KB (2 ** 15 bits), so it has bits / 8 bytes whatever
-    the data. The more keys there are, the less it spares; nothing else depends on it.
-    """
-    place = F.pmod(F.col("key"), F.lit(bits))
-    marks = index.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_row")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(1 << 15))).alias("_m"))
-
-    def word(i: Column) -> Column:
-        number = F.conv(F.hex(F.substring("_m", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
-        return F.when(number >= 1 << 31, number - (1 << 32)).otherwise(number).cast("int")
-
-    # words of 32 bits are looked up faster than bytes of a string; the first byte of a word is its highest, the first bit of a byte its lowest
-    marks = marks.select("_row", F.transform(F.sequence(F.lit(0), F.lit((1 << 10) - 1)), word).alias("_marks"))
-    met = probes.withColumn("_p", place).join(F.broadcast(marks), F.shiftright("_p", 15) == F.col("_row"))
-    within_row = F.col("_p").bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
-    bit = within_row.bitwiseAND(F.lit(31)).bitwiseXOR(F.lit(24))
-    return met.where(F.call_function("shiftright", F.get("_marks", F.shiftright(within_row, 5)), bit).bitwiseAND(F.lit(1)) != 0).select(*probes.columns)
-
-
 def pair_marks(line: Column, words: int = 1) -> Column:
     """An array of ``words`` times 64 bits, each flipped by the pairs of neighbouring letters that hash to it: an edit flips four at most."""
     codes = F.transform(F.split(line, ""), lambda c: F.ascii(c))
@@ -235,13 +210,11 @@ def _swept(rows: Column, columns: Column, m: Column, n: Column, k: int) -> Colum
     return F.when(F.abs(m - n) <= k, swept)
 
 
-def _lines_of(lines: Callable[[DataFrame | None], DataFrame], index: DataFrame, nodes: DataFrame) -> DataFrame:
+def _lines_of(lines: Callable[..., DataFrame], index: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line), once each, of some nodes: read again from one document that holds each."""
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    nodes = F.broadcast(nodes) if few else nodes
-    holders = index.where("segment = 1").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select(F.col("id").alias("_h")).distinct()
-    part = lines(F.broadcast(holders) if few else holders)
-    return part.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+    are_few = few(nodes)
+    holders = held(index.where("segment = 1"), "node", nodes, are_few).groupBy("node").agg(F.min("id").alias("id")).select(F.col("id").alias("_h")).distinct()
+    return held(lines(holders, are_few), "node", nodes, are_few).groupBy("node").agg(F.first("line").alias("line"))
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -289,12 +262,12 @@ def _passed_over(stars: DataFrame, edges: DataFrame, text: DataFrame, k: int, bl
     return met.select("node", F.size(F.filter("others", linked)).alias("n")).groupBy("node").agg(F.sum("n").alias("links")).where("links > 0")
 
 
-def line_links(lines: Callable[[DataFrame | None], DataFrame], index: DataFrame, probes: DataFrame, k: int = THRESHOLD, group: int = GROUP, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+def line_links(lines: Callable[..., DataFrame], index: DataFrame, probes: DataFrame, k: int = THRESHOLD, group: int = GROUP, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
     """(a, b), a < b: links of nodes that connect all lines that lines within k edits connect; and (node, links): how many links a node has
     besides, between lines that a hub connects already. Repeated lines do no harm.
 
     ``index`` has (node, key, segment, id) of the lines' own segments, ``probes`` (node, key) of what they look up; ``lines`` gives (node,
-    line) of the documents whose ids it is given as _h.
+    line) of the documents whose ids it is given, and whether these are few.
     """
     rows = index.where("segment > 0").select("node", "key", F.lit(False).alias("probe")).union(probes.select("node", "key", F.lit(True))).withColumn("must", F.lit(True))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("probe").alias("unknown")).where("n > 1 AND NOT unknown").select("key")
@@ -332,10 +305,10 @@ def dedup_lines(docs: DataFrame, k: int = THRESHOLD, shortest: int = SHORTEST, i
     if shortest <= 2 * k or shortest < PIECES:
         raise ValueError("lines must have more than twice as many characters as edits are allowed, and one a piece")
 
-    def lines(holders: DataFrame | None = None) -> DataFrame:
+    def lines(holders: DataFrame | None = None, are_few: bool = False) -> DataFrame:
         own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        held = own if holders is None else own.join(holders, F.col("id").eqNullSafe(F.col("_h")), "left_semi")
-        return normal_lines(held, "id", "text").where((F.col("line") != "") if short and holders is None else (F.char_length("line") >= shortest)).withColumn("node", F.xxhash64("line"))
+        part = own if holders is None else held(own, "id", holders, are_few, nulls=True)
+        return normal_lines(part, "id", "text").where((F.col("line") != "") if short and holders is None else (F.char_length("line") >= shortest)).withColumn("node", F.xxhash64("line"))
 
     with scratch() as kept:
         is_short = F.char_length("line") < shortest

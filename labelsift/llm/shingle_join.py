@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from labelsift.llm.common import arrow_batches, discard, materialize, scratch, table
+from labelsift.llm.common import arrow_batches, discard, few, held, materialize, scratch, table
 from labelsift.llm.graph import components, spread_lookup
 
 #: Nodes of a key up to which they are compared pair by pair, by sizes and bitmaps first.
@@ -41,8 +41,6 @@ ORDERS = 3
 MIDDLE = 512
 #: Nodes of a group whose whole bitmaps are compared in one task.
 BLOCK = 2048
-#: Ids up to which a filter of them is broadcast (8 bytes each); beyond, it is joined by shuffle.
-BROADCAST_IDS = 1 << 20
 #: Bytes of text that are hashed together.
 TEXT_BLOCK = 1 << 20
 #: Shingles are hashes of so many bytes.
@@ -161,10 +159,14 @@ def frequency_classes(docs: DataFrame, width: int, text_col: str, counters: int
             total += np.frombuffer(zlib.decompress(c), np.uint32)
         return pa.table({"slice": [key[0].as_py()], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    counts = np.zeros(counters, np.int64)
-    for row in docs.select(text_col).mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect():
-        counts[row.slice : row.slice + SLICE] = np.frombuffer(zlib.decompress(row.counts), np.int64)
-    return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / (2 * counts.mean() + 1)))).astype(np.uint8)
+    # slice by slice: the counts of all would be some 30 MB, and as much again for each step of the formula
+    slices = {row.slice: row.counts for row in docs.select(text_col).mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()}
+    mean = sum(int(np.frombuffer(zlib.decompress(x), np.int64).sum()) for x in slices.values()) / counters
+    classes = np.zeros(counters, np.uint8)
+    for k in list(slices):
+        counts = np.frombuffer(zlib.decompress(slices.pop(k)), np.int64)[: counters - k]
+        classes[k : k + SLICE] = np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / (2 * mean + 1))))
+    return classes
 
 
 def prefix(values: np.ndarray, heavy: np.ndarray, order: int, length: int) -> np.ndarray:
@@ -313,15 +315,15 @@ def judge(pairs: DataFrame, num: int, den: int, orders: int = ORDERS) -> DataFra
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:
-    """(node) of pairs (x, y), once each, marked to be broadcast if they are few."""
-    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    return F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
+    """(node) of pairs (x, y), once each."""
+    return pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
 
 
 def verify(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], pairs: DataFrame, num: int, den: int, orders: int) -> DataFrame:
     """(x, y, hub) of the pairs (x, y, hub) that are linked: bitmaps first, then prefixes under the other orders, then the sets."""
     pairs = materialize(pairs.groupBy("x", "y").agg(F.bool_or("hub").alias("hub")), "pairs")
-    maps = sets.select("node", "n", "wide").join(_nodes_of(pairs), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+    nodes = _nodes_of(pairs)
+    maps = held(sets.select("node", "n", "wide"), "node", nodes, few(nodes)).groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
     both = pairs.join(maps.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("wide").alias("wx")), "x").join(maps.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("wide").alias("wy")), "y")
     with arrow_batches(sets.sparkSession, 2000):
         close = materialize(sift(both, num, den), "sifted")
@@ -483,11 +485,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
         def whole(nodes: DataFrame) -> DataFrame:
             """(node, n, grams, others), once each, of some nodes: made again from one document that holds each."""
-            holders = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select(F.col("id").alias("_h")).distinct()
-            few = holders.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-            part = own.join(F.broadcast(holders) if few else holders, F.col("id").eqNullSafe(F.col("_h")), "left_semi")
-            made = shingle_sets(part, width, num, den, "id", "text", classes, whole=True)
-            return made.join(nodes, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "grams", "others")])
+            are_few = few(nodes)
+            holders = held(members, "node", nodes, are_few).groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+            made = shingle_sets(held(own, "id", holders, are_few, nulls=True), width, num, den, "id", "text", classes, whole=True)
+            return held(made, "node", nodes, are_few).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "grams", "others")])
 
         edges = materialize(links(sets.where(F.col("node").isNotNull()), whole, num, den, group, middle, block), "edges")
         kept += [members, edges]

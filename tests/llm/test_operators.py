@@ -302,6 +302,31 @@ def test_shingle_join(spark, width, num, group, middle, block):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
 
 
+def test_many_ids(spark, docs, monkeypatch):
+    """Where ids are too many to be broadcast, a bitmap of them is: the same rows, null ids too, and little memory on the driver."""
+    import tracemalloc
+
+    import corpus_pipeline
+    from labelsift.llm import common
+
+    df, _ = docs
+    gone = spark.createDataFrame([(i,) for i in [*range(0, 60, 2), None]], "_k long")
+
+    def both():
+        near = shingle_join.near_duplicates(df, 3, 50, 100)
+        left = [tuple(r) for r in corpus_pipeline.without(df.withColumn("n_chars", F.lit(1)).select(*corpus_pipeline.COLUMNS), gone, "gone").collect()]
+        return sorted(map(str, near.collect())), sorted(map(str, left)), sorted(map(str, edit_join.dedup_lines(df).collect()))
+
+    wanted = both()
+    assert not [x for x in wanted[1] if x.startswith(("(None", "(2,"))] and [x for x in wanted[1] if x.startswith("(1,")]
+    monkeypatch.setattr(common, "BROADCAST_IDS", 1)
+    assert both() == wanted
+    tracemalloc.start()
+    shingle_join.frequency_classes(df, 3, "text")
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+
+
 def test_shingle_join_edges(spark, docs):
     df, rows = docs
     got = shingle_join.near_duplicates(df, 3, 90, 100)
