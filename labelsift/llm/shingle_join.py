@@ -10,8 +10,8 @@ s - ceil(2 t s / (1 + t)) + 1 of the smaller one: a pair counts only where the s
 Sets, not documents, are joined: copies are one node. Only sizes, bitmaps and the first prefix are written down; the sets themselves are made again
 from the documents for those nodes whose pairs the bitmaps leave open. Keys that hold the same nodes are one key. A key that holds more than GROUP nodes isn't
 paired off. It is split by size first, each node going to its own range of sizes and the next, as sizes of linked sets differ little. In
-what still is too large, all are compared with one hub, and keys with one hub become one group. Nodes linked to the hub are connected already; others
-meet the group's nodes, by sizes and 128-bit bitmaps up to MIDDLE of them and else as bitmaps of one to two bits a shingle, in numpy, BLOCK of
+what still is too large, all are compared with one hub, and keys with one hub become one group. Other hubs follow, each compared with the nodes
+that no link connects to it yet, ROUNDS in all. Nodes that links connect already aren't compared; others meet the group's nodes, by sizes and 128-bit bitmaps up to MIDDLE of them and else as bitmaps of one to two bits a shingle, in numpy, BLOCK of
 them at a time, and only pairs that the bitmaps leave open go on.
 Groups over BLOCK are split before by pieces of the bitmap: where at most D bits differ, one of D + 1 pieces is equal. So every
 link between different sets is found or implied, and what is handed on grows with the links, not with the squares of the groups.
@@ -41,6 +41,8 @@ ORDERS = 3
 MIDDLE = 512
 #: Nodes of a group whose whole bitmaps are compared in one task.
 BLOCK = 2048
+#: Hubs that a large group is compared with, one after the other, before its nodes meet each other.
+ROUNDS = 5
 #: Bytes of text that are hashed together.
 TEXT_BLOCK = 1 << 20
 #: Shingles are hashes of so many bytes.
@@ -345,13 +347,13 @@ def _fits(x: str, y: str, num: int, den: int) -> Column:
 
 
 def _pairs(active: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, hub) of keys of few nodes, by sizes and short bitmaps; if there is a column must, one of the two must have it; if there is a column
+    """(x, y, hub) of keys of few nodes, by sizes and short bitmaps; if there is a column root, the two must differ in it; if there is a column
     index, the smaller must have it, or both of one size."""
-    own = ["node", "n", "bits_a", "bits_b", *[c for c in ("must", "index") if c in active.columns]]
+    own = ["node", "n", "bits_a", "bits_b", *[c for c in ("root", "index") if c in active.columns]]
     left, right = (active.select("key", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in ("x", "y"))
     fits = (F.col("node_x") < F.col("node_y")) & _fits("x", "y", num, den)
-    if "must" in active.columns:
-        fits = fits & (F.col("must_x") | F.col("must_y"))
+    if "root" in active.columns:
+        fits = fits & (F.col("root_x") != F.col("root_y"))
     if "index" in active.columns:
         fits = fits & (F.col("index_x") | (F.col("n_x") > F.col("n_y"))) & (F.col("index_y") | (F.col("n_y") > F.col("n_x")))
     return left.join(right, "key").where(fits).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), F.lit(False).alias("hub"))
@@ -369,10 +371,10 @@ def _bitmap_matrix(wide: list[bytes]) -> np.ndarray:
 
 
 def compare(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, hub) of (key, node, n, must, wide): pairs of a key, one of which must be linked yet, that sizes and bitmaps leave open."""
+    """(x, y, hub) of (key, node, n, root, wide): pairs of a key, not connected yet as their roots differ, that sizes and bitmaps leave open."""
 
     def pair(key, rows):
-        node, n, must = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "must"))
+        node, n, root = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "root"))
         bits = _bitmap_matrix(rows.column("wide").to_pylist())
         found: list[np.ndarray] = []
         step = max(1, (1 << 24) // max(1, bits.size))
@@ -380,14 +382,14 @@ def compare(groups: DataFrame, num: int, den: int) -> DataFrame:
             part = slice(at, at + step)
             differ = np.bitwise_count(bits[part, None] ^ bits[None]).sum(-1, dtype=np.int64)
             a, b = n[part, None], n[None]
-            fits = (differ * (den + num) <= (den - num) * (a + b)) & (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (must[part, None] | must[None])
+            fits = (differ * (den + num) <= (den - num) * (a + b)) & (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (root[part, None] != root[None])
             i, j = np.nonzero(fits)
             i = i + at
             found.append(np.stack([node[i], node[j]], 1)[node[i] < node[j]])
         got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.table({"x": got[:, 0], "y": got[:, 1], "hub": np.zeros(len(got), bool)})
 
-    return groups.select("key", "node", "n", "must", "wide").groupBy("key").applyInArrow(pair, "x long, y long, hub boolean")
+    return groups.select("key", "node", "n", "root", "wide").groupBy("key").applyInArrow(pair, "x long, y long, hub boolean")
 
 
 def split_by_pieces(groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -397,21 +399,21 @@ def split_by_pieces(groups: DataFrame, num: int, den: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            key, node, n, must, wide, size, most = (c.to_pylist() for c in batch.columns)
+            key, node, n, root, wide, size, most = (c.to_pylist() for c in batch.columns)
             out: list[tuple] = []
-            for row in zip(key, node, n, must, wide, size, most, strict=True):
+            for row in zip(key, node, n, root, wide, size, most, strict=True):
                 bits = np.unpackbits(fold(np.frombuffer(row[4], np.uint8), row[5]), bitorder="little")
                 pieces = min((den - num) * 2 * row[6] // (den + num) + 1, len(bits))
                 for k, piece in enumerate(np.array_split(bits, pieces)):
                     h = xxhash.xxh3_64_intdigest(piece.tobytes(), (row[0] * 31 + k) & _WORD)
                     out.append((_signed(h), *row[1:5]))
             if out:
-                key, node, n, must, wide = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(must, pa.bool_()), pa.array(wide, pa.binary())], ["key", "node", "n", "must", "wide"])
+                key, node, n, root, wide = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (key, node, n, root)], pa.array(wide, pa.binary())], ["key", "node", "n", "root", "wide"])
 
     edges = groups.groupBy("key").agg(F.min(F.octet_length("wide")).alias("bits"), F.max("n").alias("most"))
-    rows = groups.join(edges, "key").select("key", "node", "n", "must", "wide", "bits", "most")
-    return rows.mapInArrow(read, "key long, node long, n long, must boolean, wide binary").dropDuplicates(["key", "node"])
+    rows = groups.join(edges, "key").select("key", "node", "n", "root", "wide", "bits", "most")
+    return rows.mapInArrow(read, "key long, node long, n long, root long, wide binary").dropDuplicates(["key", "node"])
 
 
 def in_blocks(groups: DataFrame, block: int) -> DataFrame:
@@ -422,7 +424,12 @@ def in_blocks(groups: DataFrame, block: int) -> DataFrame:
     return met.withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other", "size")
 
 
-def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int, group: int = GROUP, middle: int = MIDDLE, block: int = BLOCK, orders: int = ORDERS) -> DataFrame:
+def _unconnected(rows: DataFrame) -> DataFrame:
+    """(key, size) of the keys whose nodes have not all one root."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
+
+
+def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, den: int, group: int = GROUP, middle: int = MIDDLE, block: int = BLOCK, orders: int = ORDERS, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): links between different nodes that connect all nodes that similar sets connect."""
     facts = sets.select("node", "n", "bits_a", "bits_b").distinct()
     rows = prefix_rows(sets, num, den)
@@ -448,20 +455,32 @@ def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], num: int, de
     out = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
     if hot.isEmpty():
         return out
-    linked = found.where("hub").select(F.col("x").alias("node"), F.col("y").alias("hub"), F.lit(False).alias("must"))
-    marked = hot.join(linked, ["node", "hub"], "left").select(F.col("hub").alias("key"), *own, F.coalesce("must", F.col("node") != F.col("hub")).alias("must"))
-    open_ = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("must").alias("any")).where("any").drop("any")
-    rest = materialize(marked.join(open_, "key"), "open")
+    # nodes that the links so far connect need no other link between them: a few hubs more (of those with links, if any), each compared with what it isn't
+    # connected to, leave little of a group of near copies
+    for k in range(rounds):
+        reach = components(out, "reached").select("node", F.col("component").alias("root"))
+        marked = hot.join(reach, "node", "left").select(F.col("hub").alias("key"), *own, F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("met"))
+        rest = materialize(marked.join(_unconnected(marked), "key"), "open")
+        if rest.isEmpty():
+            return out
+        if k == rounds - 1:
+            break
+        side = [*own, "root"]
+        chosen = rest.groupBy("key").agg(F.min_by(F.struct(*[F.col(c).alias(f"{c}_y") for c in side]), F.struct(~F.col("met"), F.xxhash64("node", F.lit(k)))).alias("y")).select("key", "y.*")
+        sides = rest.select("key", *[F.col(c).alias(f"{c}_x") for c in side]).join(chosen, "key").where((F.col("root_x") != F.col("root_y")) & _fits("x", "y", num, den))
+        more = verify(sets, whole, sides.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y"), F.lit(True).alias("hub")), num, den, orders)
+        if more.isEmpty():
+            break
+        out = out.union(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
     pairs = _pairs(rest.where(F.col("size") <= middle), num, den)
-    rest = rest.where(F.col("size") > middle).select("key", "node", "n", "must", "size")
+    rest = rest.where(F.col("size") > middle).select("key", "node", "n", "root", "size")
     wide = sets.select("node", "wide").join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide"))
     rest = materialize(rest.join(wide, "node"), "wide")
     pairs = pairs.union(compare(rest.where(F.col("size") <= block), num, den))
     large = rest.where(F.col("size") > block).drop("size")
     if not large.isEmpty():
         pieces = split_by_pieces(large, num, den)
-        counts = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("must").alias("any")).where("size > 1 AND any").drop("any")
-        pieces = materialize(pieces.join(counts, "key"), "pieces")
+        pieces = materialize(pieces.join(_unconnected(pieces), "key"), "pieces")
         pairs = pairs.union(compare(pieces.where(F.col("size") <= block), num, den)).union(compare(in_blocks(pieces.where(F.col("size") > block), block), num, den))
     more = verify(sets, whole, pairs, num, den, orders)
     return out.union(more.select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -302,6 +302,30 @@ def test_shingle_join(spark, width, num, group, middle, block):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
 
 
+def test_shingle_join_group_of_near_copies(spark, monkeypatch):
+    """What is verified of a large group of near copies doesn't grow with its square."""
+    rng = random.Random(9)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = prose(rng, 1) + "x"
+        texts.append(" ".join(w))
+    sets = {i: shingles(t, 3) for i, t in enumerate(texts)}
+    find = roots((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]))
+    seen, verify = [], shingle_join.verify
+
+    def counted(nodes, whole, pairs, *rest):
+        seen.append(pairs.select("x", "y").distinct().count())
+        return verify(nodes, whole, pairs, *rest)
+
+    monkeypatch.setattr(shingle_join, "verify", counted)
+    got = shingle_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90, 100, group=2).collect()
+    assert all(r.component_id == find(r.doc_id) for r in got)
+    assert sum(seen) < 10 * len(set(texts)), seen
+
+
 def test_many_ids(spark, docs, monkeypatch):
     """Where ids are too many to be broadcast, a bitmap of them is: the same rows, null ids too, and little memory on the driver."""
     import tracemalloc
