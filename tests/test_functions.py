@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,12 @@ def test_numbers(spark):
 def test_elapsed_days(spark):
     row = spark.sql("SELECT timestamp_ntz '2015-01-01 23:00:00' a, timestamp_ntz '2015-01-02 01:00:00' b").select(whole_days(F.col("a"), F.col("b")).alias("d")).first()
     assert row.d == 0
+
+
+def test_whole_days_counts_parts_of_seconds(spark):
+    day = datetime.timedelta(days=1)
+    ends = [datetime.datetime(2030, 1, 1, 7, 30), datetime.datetime(1950, 3, 1, 0, 0, 0, 5)]
+    gaps = [k * day + datetime.timedelta(microseconds=us) for k in (-2, -1, 0, 1, 2191) for us in (-1, 0, 1, 600_000, -600_000)]
+    rows = [(e - g, e, g // day) for e in ends for g in gaps]
+    got = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz, want long").select(whole_days(F.col("a"), F.col("b")).alias("d"), "want")
+    assert dict(got.dtypes)["d"] == "bigint" and all(r.d == r.want for r in got.collect())
