@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,29 @@ def test_kmeans_and_its_diagnostics(spark):
         widths.append((b - a) / max(a, b))
     assert np.isclose(rows[1]["silhouette"], np.mean(widths))
     assert cluster.stability(df, "id", "v", 4, seeds=[1, 2], restarts=3) == [1.0, 1.0]
+
+
+def test_silhouette_has_no_sample_and_counts_keys_as_its_sql(spark, monkeypatch):
+    """Against the SQL over more rows than a sample had and over groups; null and repeated keys, rows without label, copies, empty groups."""
+    import duckdb
+
+    rng = np.random.RandomState(7)
+
+    def both(rows):
+        monkeypatch.setattr(analytics, "vectors", lambda *_: spark.createDataFrame(rows, "vec_id long, label int, v array<double>"))
+        con = duckdb.connect()
+        con.execute("CREATE TABLE embeddings (vec_id BIGINT, label INT, embedding DOUBLE[])")
+        con.register("given", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "label": pa.array([r[1] for r in rows], pa.int32()), "embedding": [r[2] for r in rows]}))
+        con.execute("INSERT INTO embeddings FROM given")
+        got, want = analytics.QUERIES["ml_silhouette"][0](spark, "").first()[0], con.execute(analytics.QUERIES["ml_silhouette"][1]).fetchone()[0]
+        assert (got is None and want is None) or got == pytest.approx(want, abs=1e-6, nan_ok=True)
+
+    plain = [(i, i % 3, (rng.rand(2) + i % 3 * (0.1 if i < 4000 else 0.9)).tolist()) for i in range(8600)]
+    both(plain)
+    odd = plain[:300] + [(None, 1, [1.0] * 2), (5, None, [2.0] * 2), (7, 1, [0.5] * 2), (8, 2, [0.1] * 2), (8, 2, [0.1] * 2), (901, 4, [0.3] * 2)]
+    for rows in (odd, plain[:1], [(i, i % 2, [1.0, 2.0]) for i in range(6)]):
+        both(rows)
+    monkeypatch.setattr(cluster, "SMALL_ROWS", 2)
+    monkeypatch.setattr(cluster, "GROUP_ROWS", 100)
+    both(odd)
+    both(plain[:3])
