@@ -384,3 +384,25 @@ def test_silhouette_has_no_sample_and_counts_keys_as_its_sql(spark, monkeypatch)
     monkeypatch.setattr(cluster, "GROUP_ROWS", 100)
     both(odd)
     both(plain[:3])
+
+
+def test_large_maps_start_from_all_rows_and_learn_by_the_batch_rule(spark, monkeypatch):
+    """Beyond TRAIN_ROWS the axes are those of every row, none of a sample, and each epoch is worked out again in numpy."""
+    x = np.random.RandomState(3).rand(700, 5) * [9, 5, 1, 1, 1]
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, v array<double>").repartition(5)
+    assert np.allclose(som.covariance(rows, "v"), np.cov(x.T))
+    monkeypatch.setattr(analytics, "vectors", lambda *_: rows)
+    monkeypatch.setattr(analytics, "TRAIN_ROWS", 100)
+    monkeypatch.setattr(sampling, "sample", None)
+    want = som.Som(6, 6, 5, sigma=3.0, seed=42)
+    want.start_from_axes(x)
+    for t in range(analytics.PASSES):
+        pull = np.array([want.influence(want.winner(v), 1 + 2 * (analytics.PASSES - t) / analytics.PASSES) for v in x])
+        want.weights = np.einsum("nij,nk->ijk", pull, x) / pull.sum(0)[..., None]
+    got = analytics.small_map(spark, "")[0].weights
+    assert np.allclose(got, want.weights) or np.allclose(np.sort(got, None), np.sort(want.weights, None))  # an axis may be turned
+    nodes = want.frame(spark)
+    near = som.assign(spark.createDataFrame([(1, x[0].tolist()), (2, None)], "id int, v array<double>"), "id", "v", nodes, 40).collect()
+    gaps = np.linalg.norm(want.weights.reshape(-1, 5) - x[0], axis=1)
+    assert [r.node for r in near if r.id == 1] == np.argsort(gaps, kind="stable").tolist() and [r.node for r in near if r.id == 2] == list(range(36))
+    assert np.allclose([r.distance for r in near if r.id == 1], np.sort(gaps)) and {r.distance for r in near if r.id == 2} == {None}
