@@ -196,15 +196,16 @@ def _(s, d):
 def combined(s, d) -> tuple[DataFrame, list[str]]:
     """Labelled documents with one vector of scaled numbers and two TF-IDF blocks, and the features' names."""
     rows = heads(s, d)
-    z = features.standardise(rows.select("doc_id", *NUMERIC), {x: [x] for x in NUMERIC})
-    z = z.select("doc_id", *[c(f"{x}_z").alias(x) for x in NUMERIC])
-    long = classify.union_features(rows, "doc_id", z, NUMERIC, {"text": words("text"), "head": words("head")})
-    return classify.vectors(long.select("doc_id", c("feature").alias("term"), c("value").alias("weight")), "doc_id", rows.select("doc_id", "quality"))
+    z = features.standardise(rows, {x: [x] for x in NUMERIC})
+    z = z.select("doc_id", "text", "head", *[c(f"{x}_z").alias(x) for x in NUMERIC])
+    found = classify.sparse(z, "doc_id", {"text": words("text"), "head": words("head")}, NUMERIC)
+    return classify.vectors(found, "doc_id", rows.select("doc_id", "quality"))
 
 
 @query("tx_top_terms")
 def _(s, d):
     rows, names = combined(s, d)
+    rows = classify.in_parts(rows, table(s, d, "labels").count())
     least, most = classify.top_terms(classify.logistic(rows, "quality", tolerance=1e-4), names)
     found = [("least", i + 1, t, w) for i, (t, w) in enumerate(least)] + [("most", i + 1, t, w) for i, (t, w) in enumerate(most)]
     return s.createDataFrame(found, "side string, rank int, feature string, coefficient double")
@@ -227,7 +228,7 @@ def _(s, d):
     """Three models, two of scaled numbers and one of terms, trained on trusted labels only (here those of documents in a known language), score
     every label out of fold."""
     rows = ready(s, d).select("doc_id", "quality", "features")
-    terms, _ = classify.vectors(classify.tfidf(heads(s, d), "doc_id", words("text")), "doc_id", rows.select("doc_id"))
+    terms, _ = classify.vectors(classify.sparse(heads(s, d).select("doc_id", "text"), "doc_id", {"": words("text")}), "doc_id", rows.select("doc_id"))
     rows = rows.join(terms.withColumnRenamed("features", "terms"), "doc_id").join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
     scored = classify.out_of_fold(rows, "doc_id", "quality", c("lang").isNotNull(), THREE, k=3)
     names = [f"p_{x}" for x in THREE]

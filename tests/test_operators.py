@@ -406,3 +406,49 @@ def test_large_maps_start_from_all_rows_and_learn_by_the_batch_rule(spark, monke
     gaps = np.linalg.norm(want.weights.reshape(-1, 5) - x[0], axis=1)
     assert [r.node for r in near if r.id == 1] == np.argsort(gaps, kind="stable").tolist() and [r.node for r in near if r.id == 2] == list(range(36))
     assert np.allclose([r.distance for r in near if r.id == 1], np.sort(gaps)) and {r.distance for r in near if r.id == 2} == {None}
+
+
+def tfidf_by_hand(texts):
+    """{(key, term): weight} of (key, words); rows of one key are one document, but each counts in n."""
+    docs = {}
+    for key, words in texts:
+        docs.setdefault(key, []).extend(words or [])
+    df = {t: sum(t in w for w in docs.values()) for w in docs.values() for t in w}
+    raw = {k: {t: (1 + np.log(w.count(t))) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) for t in w if df[t] >= 3} for k, w in docs.items()}
+    return {(k, t): v / np.sqrt(sum(x * x for x in r.values())) for k, r in raw.items() for t, v in r.items()}
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_tfidf_shuffles_no_terms_of_documents(spark, odd):
+    rng = np.random.RandomState(5)
+    texts = [(i, [f"w{k}" for k in rng.zipf(1.6, 30) if k < 40]) for i in range(60)] + [(60, []), (61, None), (None, ["w1", "w2", "w2"])]
+    texts += [(3, ["w1", "w9"]), (None, ["w2"])] if odd else []
+    df = spark.createDataFrame(texts, "id long, words array<string>").repartition(4)
+    got = classify.tfidf(df, "id", F.col("words"))
+    want = tfidf_by_hand(texts)
+    assert {(r.id, r.term): pytest.approx(r.weight) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and ("Aggregate" in plan) == odd
+    found = classify.sparse(df.withColumn("size", F.lit(2.5)).where("id IS NOT NULL"), "id", {"a": F.col("words"), "b": F.slice("words", 1, 2)}, [] if odd else ["size"])
+    wanted = {f"{b}:{t}": w for b, cut in (("a", 30), ("b", 2)) for (k, t), w in tfidf_by_hand([(k, w and w[:cut]) for k, w in texts if k is not None]).items() if k == 3}
+    row = next(r for r in found.rows.collect() if r.id == 3)
+    assert found.names == sorted(found.names) and row._i == sorted(row._i)
+    assert {found.names[i]: pytest.approx(w) for i, w in zip(row._i, row._w)} == wanted | ({} if odd else {"size": 2.5})
+
+
+def test_training_reads_few_parts(spark, monkeypatch):
+    """Short jobs over small parts took the time of out-of-fold scores; parts are of PART_ROWS rows."""
+    rng = np.random.RandomState(2)
+    x = rng.randn(240, 2)
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.createDataFrame([(i, v.tolist(), int(v[0] + 0.3 * rng.randn() > 0)) for i, v in enumerate(x)], "id long, v array<double>, y int").select("id", "y", array_to_vector("v").alias("features")).repartition(40)
+    seen, logistic = [], classify.logistic
+    monkeypatch.setattr(classify, "logistic", lambda train, *a, **k: (seen.append(train.select(F.spark_partition_id()).distinct().count()), logistic(train, *a, **k))[1])
+    models = {"lr": lambda train: (lambda m: lambda df, name: classify.probability(m, df, name))(classify.logistic(train, "y")), "svm": lambda train: classify.CalibratedSvm(train, "y", "id", folds=2).probability}
+    got = classify.out_of_fold(rows, "id", "y", F.lit(True), models, k=3).collect()
+    assert seen == [1, 1, 1] and sorted(r.id for r in got) == list(range(240)) and all(0 <= r.p_svm <= 1 for r in got)
+    assert np.mean([(r.p_lr > 0.5) == r.y for r in got]) > 0.8
+    monkeypatch.setattr(classify, "PART_ROWS", 100)
+    again = {r.id: r.p_lr for r in classify.out_of_fold(rows, "id", "y", F.lit(True), {"lr": models["lr"]}, k=3).collect()}
+    assert max(seen[3:]) == 3 and all(again[r.id] == pytest.approx(r.p_lr, abs=1e-5) for r in got)
