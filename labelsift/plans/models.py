@@ -259,15 +259,22 @@ def _(s, d):
 @query("ml_sensitivity")
 def _(s, d):
     """How far clusters change if the view's weights are left out: the Rand index of both, of customers by balance and region."""
-    rows = table(s, d, "customer").select("c_custkey", c("c_acctbal").alias("a"), c("c_nationkey").cast("double").alias("b"))
-    parts = []
+    rows = table(s, d, "customer").select(c("c_acctbal").alias("a"), c("c_nationkey").cast("double").alias("b"))
+    # a file has many of these small rows; they are dealt out once, so that the views' starts are of the same rows
+    if (n := rows.count()) > cluster.KMEANS_PART_ROWS:
+        rows = rows.repartition(-(-n // cluster.KMEANS_PART_ROWS))
+    rows = rows.cache()
+    done, marks = rows, []
     for views in ({"both": ["a", "b"]}, {"a": ["a"], "b": ["b"]}, {"a": ["a"]}):
-        z = features.standardise(rows, views)
-        names = [x for v in views.values() for x in v]
-        done, _, _ = cluster.kmeans(z.withColumn("v", F.array(*[f"{x}_z" for x in names])), "v", 3, restarts=2)
-        parts.append(done.select("c_custkey", c("cluster").alias(f"k{len(parts)}")))
-    both = parts[0].join(parts[1], "c_custkey").join(parts[2], "c_custkey")
-    return stats.rand_matrix(both, ["k0", "k1", "k2"])
+        z = features.standardise(done, views, rows)
+        names = [f"{x}_z" for v in views.values() for x in v]
+        done, _, _ = cluster.kmeans(z.withColumn("v", F.array(*names)).drop(*names), "v", 3, restarts=2)
+        marks.append(f"k{len(marks)}")
+        done = done.drop("v").withColumnRenamed("cluster", marks[-1])
+    # each row has its three clusters side by side; what is compared are the counts of the 27 combinations
+    counts = done.groupBy(*marks).agg(F.count(lit(1)).alias("n")).cache()
+    counts.count()
+    return stats.rand_matrix(counts, marks, "n")
 
 
 @query("ml_som_sweep")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelsift.operators import classify, cluster, entity, rules, sampling, som, stats, vote
-from labelsift.plans import analytics
+from labelsift.plans import analytics, models
 from labelsift.sources import files
 from labelsift.plans import profiles
 
@@ -452,3 +452,20 @@ def test_training_reads_few_parts(spark, monkeypatch):
     monkeypatch.setattr(classify, "PART_ROWS", 100)
     again = {r.id: r.p_lr for r in classify.out_of_fold(rows, "id", "y", F.lit(True), {"lr": models["lr"]}, k=3).collect()}
     assert max(seen[3:]) == 3 and all(again[r.id] == pytest.approx(r.p_lr, abs=1e-5) for r in got)
+
+
+def test_sensitivity_deals_many_small_rows(spark, tmp_path, monkeypatch):
+    """A table of many small rows in one part is dealt out before the steps, the same for all views; clusters side by side are compared by their counts."""
+    rng = np.random.RandomState(6)
+    rows = [(i, float(x), int(k)) for i, (x, k) in enumerate(zip(rng.rand(300) + np.arange(300) % 3 * 50, np.arange(300) % 3 * 7))]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    seen, fit = [], cluster.KMeans.fit
+    monkeypatch.setattr(cluster.KMeans, "fit", lambda self, rows: (seen.append(rows.rdd.getNumPartitions()), fit(self, rows))[1])
+    for most, parts in ((65_536, 1), (100, 3)):
+        monkeypatch.setattr(cluster, "KMEANS_PART_ROWS", most)
+        got = {(r.a, r.b): r.ari for r in models.QUERIES["ml_sensitivity"][0](spark, str(tmp_path)).collect()}
+        assert got == {("k0", "k1"): 1.0, ("k0", "k2"): 1.0, ("k1", "k2"): 1.0} and set(seen) == {parts}
+        seen.clear()
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in rng.randint(0, 3, (200, 2))], "a int, b int")
+    counted = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    assert stats.rand_matrix(counted, ["a", "b"], "n").first().ari == pytest.approx(stats.rand_matrix(rows, ["a", "b"]).first().ari)
